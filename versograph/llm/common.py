@@ -13,15 +13,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows handed to a Python function at once; the texts of so many rows are in memory together.
-SLICE_ROWS = 256
+#: Bytes of text handed to a Python function at once (a longer text goes alone).
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,17 +62,27 @@ def parsed(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes in a column each."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    parts = (np.cumsum(lengths) - lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def map_texts(
     docs: DataFrame,
     fn: Callable[[list[bytes]], list],
     ddl: str,
     carry: tuple[str, ...] = ("doc_id",),
-    rows: int = SLICE_ROWS,
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """``carry`` columns of ``docs`` plus the columns ``ddl`` that ``fn`` makes of the texts.
 
-    ``fn`` gets the UTF-8 bytes of up to ``rows`` whole texts (null: empty) and
-    returns one list per new column.
+    ``fn`` gets the UTF-8 bytes of whole texts (null: empty), about ``size`` bytes at
+    once, and returns one list per new column.
     """
     kept = [StructField("doc_id", LongType()) if c == "doc_id" else docs.schema[c] for c in carry]
     schema = StructType([*kept, *parsed(ddl)])
@@ -79,8 +91,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, n, size):
                 made = fn([x or b"" for x in part.column(n).to_pylist()])
                 new = [pa.array(x, type=t.type) for x, t in zip(made, list(arrow)[n:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], schema=arrow)

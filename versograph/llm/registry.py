@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from versograph.llm.op01_license import op1_license
+from versograph.llm.op02_quality import op2_quality
 from versograph.llm.op05_bpe import op5_bpe
 from versograph.llm.op09_rules import op9_rules
+from versograph.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op1_license": op1_license,
+    "op2_quality": op2_quality,
     "op5_bpe": op5_bpe,
     "op9_rules": op9_rules,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
