@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versograph.llm import op05_bpe, op09_rules
+from versograph.llm import op05_bpe, op07_decontaminate, op08_secrets, op09_rules, op10_simhash
 from versograph.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality rules keep."""
+    """Documents that fail the base rules or lie too far from their language and source go."""
     return op09_rules.kept_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked fingerprints stays."""
+    return op10_simhash.one_per_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return op07_decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; every document stays."""
+    return op08_secrets.redacted_documents(docs)
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents left."""
     return op05_bpe.encode_documents(docs, *op05_bpe.public_codec(), ids=False)
@@ -20,10 +35,13 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
     ("byte-level BPE", bpe_encoding),
 ]
 
-#: SQL can't express the robust estimates, the near-duplicate classes or the merges.
+#: SQL can't express the robust estimates, the near-duplicate classes, the alignments or the merges.
 ORACLE_SQL = None
 
 
