@@ -2,8 +2,9 @@
 
 Pairs of neighbouring symbols wait in one bucket per merge rank.  A two-level
 bitmap says which buckets are filled: find-first-set on the summary word, then on
-the leaf word, gives the smallest waiting rank.  A bucket is a heap of the pairs'
-left positions in a doubly linked list, so equal ranks merge from the left.  An
+the leaf word, gives the smallest waiting rank.  A bucket holds the pairs'
+left positions in a doubly linked list (the bits of a number in a short pre-token,
+else a heap), so equal ranks merge from the left.  An
 entry whose pair has changed since it was queued is stale and skipped.  A pre-token
 of n bytes takes O(n log n), however long it is.
 
@@ -25,8 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from versograph.llm.common import map_texts, table
 
 LEAF = 8  # a leaf word of the bitmap has 2**LEAF bits
-#: Entries of one generation of the per-worker cache of chunks; two are kept.
-CACHE = 200_000
+LOW = (1 << LEAF) - 1
+#: Bytes up to which a bucket's positions are bits of a number, so the leftmost is found by find-first-set too.
+SHORT = 64
+#: Entries of one generation of the per-worker cache of chunks (two are kept), and of the cache of pre-tokens.
+CACHE, PIECES = 250_000, 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,57 +45,83 @@ def bpe(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (whole,)
     n, get = len(piece), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [-1] * n  # the rank of the symbol at i joined with the next one
-    buckets: dict[int, list[int]] = {}
+    #: The rank of the symbol at i joined with the next one.
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair.append(-1)
+    buckets: dict[int, int | list[int]] = {}  # positions: the bits of a number in a short pre-token, else a heap
+    short = n <= SHORT
     leaves: dict[int, int] = {}
     summary = 0
-
-    def push(i: int, r: int) -> None:
-        nonlocal summary
-        pair[i] = r
-        bucket = buckets.get(r)
-        if bucket is not None:
-            heappush(bucket, i)
-            return
-        buckets[r] = [i]
-        word = r >> LEAF
-        leaves[word] = leaves.get(word, 0) | 1 << (r & (1 << LEAF) - 1)
-        summary |= 1 << word
-
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            push(i, r)
+    for i, r in enumerate(pair):
+        if r >= 0:
+            if r in buckets:
+                if short:
+                    buckets[r] |= 1 << i
+                else:
+                    buckets[r].append(i)
+            else:
+                buckets[r] = 1 << i if short else [i]
+                word = r >> LEAF
+                leaves[word] = leaves.get(word, 0) | 1 << (r & LOW)
+                summary |= 1 << word
     while summary:
         word = (summary & -summary).bit_length() - 1
         bits = leaves[word]
         low = bits & -bits
         r = word << LEAF | low.bit_length() - 1
         bucket = buckets[r]
-        i = heappop(bucket)
+        if short:
+            first = bucket & -bucket
+            i = first.bit_length() - 1
+            bucket ^= first
+            if bucket:
+                buckets[r] = bucket
+        else:
+            i = heappop(bucket)
         if not bucket:
             del buckets[r]
-            leaves[word] = bits ^ low
             if bits == low:
                 summary ^= 1 << word
+                del leaves[word]
+            else:
+                leaves[word] = bits ^ low
         if pair[i] != r:
             continue
         j = after[i]
-        k = after[j]
-        after[i] = k
+        k = after[i] = after[j]
         pair[j] = pair[i] = -1
+        p = before[i]
         if k < n:
             before[k] = i
             new = get(piece[i : after[k]])
             if new is not None:
-                push(i, new)
-        p = before[i]
+                pair[i] = new
+                if new in buckets:
+                    if short:
+                        buckets[new] |= 1 << i
+                    else:
+                        heappush(buckets[new], i)
+                else:
+                    buckets[new] = 1 << i if short else [i]
+                    word = new >> LEAF
+                    leaves[word] = leaves.get(word, 0) | 1 << (new & LOW)
+                    summary |= 1 << word
         if p >= 0:
             new = get(piece[p:k])
             if new is None:
                 pair[p] = -1
             else:
-                push(p, new)
+                pair[p] = new
+                if new in buckets:
+                    if short:
+                        buckets[new] |= 1 << p
+                    else:
+                        heappush(buckets[new], p)
+                else:
+                    buckets[new] = 1 << p if short else [p]
+                    word = new >> LEAF
+                    leaves[word] = leaves.get(word, 0) | 1 << (new & LOW)
+                    summary |= 1 << word
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -110,7 +140,7 @@ class Codec:
         self.findall = regex.compile(pattern).findall
         self.young: dict[str, tuple[int, ...] | None] = {}
         self.old: dict[str, tuple[int, ...] | None] = {}
-        self.pieces = functools.lru_cache(CACHE)(lambda piece: bpe(piece, self.ranks))
+        self.pieces = functools.lru_cache(PIECES)(functools.partial(bpe, ranks=self.ranks))
 
     def _plain(self, text: str) -> tuple[int, ...]:
         pieces = self.pieces
@@ -122,6 +152,10 @@ class Codec:
             ids = self.old[chunk]
         elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             ids = None
+        elif chunk.isalpha():
+            ids = self.pieces(b" " + chunk.encode())
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            ids = self.pieces(b" " + chunk[:-1].encode()) + self.pieces(chunk[-1].encode())
         else:
             ids = self._plain(" " + chunk)
         if len(self.young) >= CACHE:
