@@ -33,7 +33,7 @@ MAX_TRAIN, FOLDS, STEPS, RATE, DECAY = 12_000, 5, 300, 0.3, 1e-3
 STEMS = (4, 5, 6)
 #: A feature is kept that occurs in so many positive rows (and this share of them), mostly there, up to MAX_FEATURES.
 LEAST_ROWS, LEAST_SHARE, LEAST_PRECISION, MAX_FEATURES = 4, 0.004, 0.5, 4000
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123))
 WORDS_ONLY = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 

@@ -222,7 +222,11 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int =
     """doc_id, the counts of the first ``base`` rules, the digest of their spans, and all spans as text."""
     rows = with_spans(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ("doc_id",), rules)
     of = F.filter("__spans", lambda s: s["k"] < base)
-    counts = [F.size(F.filter("__spans", lambda s, i=i: s["k"] == i)).cast("long").alias(f"n_{rules[i].kind}") for i in range(base)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("__spans", lambda s: s["k"] == k)).cast("long")
+
+    counts = [count(i).alias(f"n_{rules[i].kind}") for i in range(base)]
     return rows.select("doc_id", *counts, F.sha2(_shown(of, rules), 256).alias("base_sha256"), _shown(F.col("__spans"), rules).alias("spans"))
 
 
