@@ -259,7 +259,7 @@ def _oracle() -> str:
     for i, r in enumerate(RULES):
         p = quote(r.pattern)
         each.append(f"""SELECT rid, {i} AS k, {quote(r.kind)} AS kind, m[i] AS m,
-          (list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0))::BIGINT AS s
+          (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
         FROM (SELECT rid, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
           SELECT rid, regexp_extract_all(t, {p}, 0) AS m, string_split_regex(t, {p}) AS g FROM d WHERE regexp_matches(t, {p})))
         WHERE length(regexp_extract(m[i], {p}, {r.part})) >= {r.least}""")
