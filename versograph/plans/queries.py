@@ -21,7 +21,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SNAPSHOTS = [0, 3, 6]
 S, P, O = "ex:order/10", "ex:status", "F"  # noqa: E741
-LIST = F.concat_ws(" ", F.transform("versions", lambda v: v.cast("string"))).alias("versions")
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Version lists as text."""
+    return rows.select(*TRIPLE, F.concat_ws(" ", F.transform("versions", lambda v: v.cast("string"))).alias("versions"))
 
 
 def _add(name: str, run: Query, sql: str, archive: str = ORDERS_SQL) -> None:
@@ -110,16 +114,16 @@ def _lists(extra: str = "") -> str:
   FROM (SELECT s, p, o, unnest(range(v_from, least(v_to, 7))) AS v FROM pres WHERE v_from <= 6{extra}) GROUP BY s, p, o"""
 
 
-_add("vq_all", _presence(lambda p: q.vq(p, LAST_ORDERS).select(*TRIPLE, LIST)), _lists())
-_add("vq_pattern", _presence(lambda p: q.vq(p, LAST_ORDERS, (None, P, "archived")).select(*TRIPLE, LIST)), _lists(_match((None, P, "archived"))))
-_add("vq_offset", _presence(lambda p: q.vq(p, LAST_ORDERS, (None, P, None), offset=100, limit=40).select(*TRIPLE, LIST)), f"SELECT * FROM ({_lists(_match((None, P, None)))}) ORDER BY p, o, s LIMIT 40 OFFSET 100")
+_add("vq_all", _presence(lambda p: _listed(q.vq(p, LAST_ORDERS))), _lists())
+_add("vq_pattern", _presence(lambda p: _listed(q.vq(p, LAST_ORDERS, (None, P, "archived")))), _lists(_match((None, P, "archived"))))
+_add("vq_offset", _presence(lambda p: _listed(q.vq(p, LAST_ORDERS, (None, P, None), offset=100, limit=40))), f"SELECT * FROM ({_lists(_match((None, P, None)))}) ORDER BY p, o, s LIMIT 40 OFFSET 100")
 _add("vq_count", _presence(q.vq_count), "SELECT count(*) AS n FROM (SELECT DISTINCT s, p, o FROM pres)")
-_add("vq_events", _presence(lambda p: q.vq(p, 9).select(*TRIPLE, LIST), events_presence), _lists().replace("least(v_to, 7)", "least(v_to, 10)").replace("v_from <= 6", "v_from <= 9"), EVENTS_SQL)
+_add("vq_events", _presence(lambda p: _listed(q.vq(p, 9)), events_presence), _lists().replace("least(v_to, 7)", "least(v_to, 10)").replace("v_from <= 6", "v_from <= 9"), EVENTS_SQL)
 
 
 def _combined(spark: SparkSession, d: str) -> DataFrame:
     p = orders_presence(spark, d)
-    return chain.vq_hybrid({v: q.vm(p, v) for v in SNAPSHOTS}, orders_log(spark, d), LAST_ORDERS).select(*TRIPLE, LIST)
+    return _listed(chain.vq_hybrid({v: q.vm(p, v) for v in SNAPSHOTS}, orders_log(spark, d), LAST_ORDERS))
 
 
 _add("vq_combined_chains", _combined, _lists())
