@@ -48,7 +48,7 @@ from versograph.llm.common import held_out, table, written
 ORDER, LEVELS = 3, 4096
 #: Weight of the shorter context's estimate, by order.
 WEIGHT = {2: 8.0, 3: 4.0}
-BLOCK_BYTES, SHARD_NGRAMS, FALSE_MATCH_BITS = 8 << 20, 4_000_000, 16
+BLOCK_BYTES, SHARD_NGRAMS, FALSE_MATCH_BITS = 5 << 20, 4_000_000, 16
 END = np.uint64(0x9E3779B97F4A7C15)  # the hash of the end of a text
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
