@@ -17,7 +17,7 @@ The task of a block then builds the trie of the n-grams that its texts can meet:
 * at the third level a word is coded relative to its context, as its place among the
   successors of the word before, so keys are small;
 * log10 probabilities and back-off weights are quantised to ``LEVELS`` steps;
-* the arrays lie in one unlinked temporary file and are read through memory maps.
+* the arrays lie in one anonymous memory map, so no folder of the machine is used.
 
 A query looks a word up among the successors of its context by successor search and
 backs off where it is missing.
@@ -32,7 +32,7 @@ scored each; without training texts all words are unknown.
 from __future__ import annotations
 
 import math
-import tempfile
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -336,26 +336,18 @@ class Trie:
         self.p1, self.p2, self.p3 = Quantised(np.log10(p1)), Quantised(np.log10(p2)), Quantised(np.log10(p3))
         self.back2, self.back3 = Quantised(np.log10(WEIGHT[2] / (one + WEIGHT[2]))), Quantised(np.log10(WEIGHT[3] / (c2 + WEIGHT[3])))
 
-    def mapped(self, file: object) -> Trie:
-        """The same with all arrays in ``file``, read through memory maps."""
-        at = 0
-
-        def put(x: np.ndarray) -> np.ndarray:
-            nonlocal at
-            if not x.size:
-                return x
-            at += -at % 16
-            file.seek(at)
-            file.write(np.ascontiguousarray(x).tobytes())
-            file.flush()
-            out = np.memmap(file, dtype=x.dtype, mode="r", offset=at, shape=x.shape)
-            at += x.nbytes
-            return out
-
+    def mapped(self) -> Trie:
+        """The same with all arrays in one memory map, as views of it."""
+        parts = [(m, name) for m in (self.level2, self.pointers2, self.offsets3, self.level3) for name in ("low", "high")]
+        parts += [(q, "codes") for q in (self.p1, self.p2, self.p3, self.back2, self.back3)]
+        arrays = [np.ascontiguousarray(getattr(x, name)) for x, name in parts]
+        starts = np.concatenate([[0], np.cumsum([-(-x.nbytes // 16) * 16 for x in arrays])]).tolist()
+        area = mmap.mmap(-1, max(1, starts[-1]))
+        for (owner, name), x, at in zip(parts, arrays, starts, strict=False):
+            area[at : at + x.nbytes] = x.tobytes()
+            setattr(owner, name, np.frombuffer(area, dtype=x.dtype, count=x.size, offset=at))
         for m in (self.level2, self.pointers2, self.offsets3, self.level3):
-            m.low, m.high, m.starts = put(m.low), put(m.high), None
-        for q in (self.p1, self.p2, self.p3, self.back2, self.back3):
-            q.codes = put(q.codes)
+            m.starts = None
         return self
 
     def log10(self, token: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -390,10 +382,8 @@ def scored(block: Block, counts: list[np.ndarray], words: int, tokens: int) -> l
         use = c > 0
         last = parts[n - 1][2][use]
         seen.append((*[token[last - k] for k in range(n - 1, -1, -1)], c[use]))
-    with tempfile.TemporaryFile() as file:
-        trie = Trie(c1, *seen, words, tokens).mapped(file)
-        score = np.add.reduceat(trie.log10(token, place), block.first)
-        del trie
+    trie = Trie(c1, *seen, words, tokens).mapped()
+    score = np.add.reduceat(trie.log10(token, place), block.first)
     known = np.add.reduceat((c1[token] > 0).astype(np.int64), block.first)
     base = np.add.reduceat(unigram[token], block.first)
     length = np.diff(np.append(block.first, len(token)))
