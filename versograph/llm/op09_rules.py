@@ -9,7 +9,9 @@ the rows); the nearest part is cut by a histogram of log distances, so no group
 ever sorted or gathered.  Texts whose Mahalanobis distance exceeds the cut-off are
 rejected.
 
-Groups with fewer than ``MIN_GROUP`` vectors borrow the estimate of all rows.  The
+Groups with fewer than ``MIN_GROUP`` vectors are estimated together, as one group (in
+each alone, the nearest 75 % of two or three rows would be all of them, outliers
+included); if even that one is too small, it borrows the estimate of all rows.  The
 scatter gets ``FLOORS``² on its diagonal, as most texts have the same value (none)
 in several statistics and the determinant would vanish.
 
@@ -42,6 +44,8 @@ PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 MIN_GROUP, SHARE, STEPS, BINS = 50, 0.75, 3, 16
 #: Cut-off of the squared Mahalanobis distance; clean texts have heavy tails in length.
 CUTOFF = 55.0
+#: The name under which small groups are estimated together (no other group's name, as those are JSON).
+SMALL = "*"
 #: Broadcast the groups' estimates up to so many groups; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -107,11 +111,15 @@ def _estimates(sums: DataFrame, make: Callable[[pd.Series], tuple[np.ndarray, np
     return sums.mapInPandas(run, "__g string, __m array<double>, __p array<double>")
 
 
-def _start(stats: DataFrame) -> DataFrame:
-    """Coordinate medians and interquartile ranges of each group, from histograms of quarter floors."""
+def _histogram(stats: DataFrame) -> DataFrame:
+    """(__g, d, b, n): rows of each group by statistic and bin of a quarter floor."""
     bins = F.array(*[F.struct(F.lit(i).alias("d"), F.floor(F.col(f"z{i}") * (4 / FLOORS[i])).alias("b")) for i in range(DIM)])
     hist = stats.select("__g", F.explode(bins).alias("x")).groupBy("__g", "x.d", "x.b").agg(F.count(F.lit(1)).alias("n"))
-    hist = written(hist, "rules-histogram")
+    return written(hist, "rules-histogram")
+
+
+def _start(hist: DataFrame) -> DataFrame:
+    """Coordinate medians and interquartile ranges of each group, from its histograms."""
 
     def quartiles(h: DataFrame) -> DataFrame:
         w = Window.partitionBy("__g", "d")
@@ -168,13 +176,19 @@ CONSISTENCY = 1.0 / 0.62
 def estimate(stats: DataFrame) -> DataFrame:
     """(__g, __m, __p) for every group of a written table of statistics with __g, from the rows that pass the base rules."""
     passing = stats.where(~base_failed()).select("__g", *_Z)
-    estimates = _start(passing)
-    few = stats.select("__g").distinct().count() <= BROADCAST_GROUPS
+    hist = _histogram(passing)
+    sizes = hist.where("d = 0").groupBy("__g").agg(F.sum("n").alias("n"))
+    names = written(sizes.select("__g", F.when(F.col("n") < MIN_GROUP, SMALL).otherwise(F.col("__g")).alias("__e")), "rules-groups")
+    few = names.count() <= BROADCAST_GROUPS
+    named = F.broadcast(names) if few else names
+    passing = written(passing.join(named, "__g").select(F.col("__e").alias("__g"), *_Z), "rules-vectors")
+    estimates = _start(hist.join(named, "__g").groupBy(F.col("__e").alias("__g"), "d", "b").agg(F.sum("n").alias("n")))
     for k in range(STEPS):
         sums = written(_concentrated(_with_distance(passing, estimates, few), few), f"rules-step{k}")
         every = sums.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS]).head()
         pooled = _scatter(every.asDict()) if every["n"] else (np.zeros(DIM), np.eye(DIM))
         estimates = _estimates(sums, lambda r: _scatter(r) if r["total"] >= MIN_GROUP else None, pooled)
+    estimates = names.join(estimates.withColumnRenamed("__g", "__e"), "__e").drop("__e")
     estimates.few = few
     return estimates
 
