@@ -17,8 +17,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from heapq import heappop, heappush
-from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +29,8 @@ LEAF = 8  # a leaf word of the bitmap has 2**LEAF bits
 LOW = (1 << LEAF) - 1
 #: Bytes up to which a bucket's positions are bits of a number, so the leftmost is found by find-first-set too.
 SHORT = 64
-#: Entries of one generation of the per-worker cache of chunks (two are kept), and of the cache of pre-tokens.
-CACHE, PIECES = 250_000, 700_000
+#: Entries of one generation of the per-worker cache (two are kept), each of up to SHORT bytes or characters.
+CACHE = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -130,7 +130,11 @@ def bpe(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Codec:
-    """Encodes and decodes whole texts; one per Python worker."""
+    """Encodes and decodes whole texts; one per Python worker.
+
+    ``young`` and ``old`` are two generations of one cache: pre-tokens (bytes) and
+    chunks (str) with their ids as packed 32-bit numbers, None for a chunk that can't be cached.
+    """
 
     def __init__(self, rank_file: str, pattern: str):
         self.ranks = load_ranks(rank_file)
@@ -138,44 +142,67 @@ class Codec:
         for k, v in self.ranks.items():
             self.bytes_of[v] = k
         self.findall = regex.compile(pattern).findall
-        self.young: dict[str, tuple[int, ...] | None] = {}
-        self.old: dict[str, tuple[int, ...] | None] = {}
-        self.pieces = functools.lru_cache(PIECES)(functools.partial(bpe, ranks=self.ranks))
+        self.young: dict[bytes | str, bytes | None] = {}
+        self.old: dict[bytes | str, bytes | None] = {}
+
+    def _keep(self, key: bytes | str, ids: bytes | None) -> bytes | None:
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+        return ids
+
+    def forget(self) -> None:
+        """Empties the cache, as the worker may serve other operators from now on."""
+        self.young, self.old = {}, {}
+
+    def _bpe(self, piece: bytes) -> bytes:
+        return array("I", bpe(piece, self.ranks)).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                ids = self._bpe(piece)
+            if len(piece) <= SHORT:
+                self._keep(piece, ids)
+        return ids
 
-    def _plain(self, text: str) -> tuple[int, ...]:
-        pieces = self.pieces
-        return tuple(chain.from_iterable([pieces(x.encode()) for x in self.findall(text)]))
+    def _plain(self, text: str) -> bytes:
+        piece = self._piece
+        return b"".join([piece(x.encode()) for x in self.findall(text)])
 
-    def _chunk(self, chunk: str) -> tuple[int, ...] | None:
+    def _chunk(self, chunk: str) -> bytes | None:
         """Ids of a space and what follows it up to the next space; None where that space may join another match."""
         if chunk in self.old:
-            ids = self.old[chunk]
-        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return self._keep(chunk, self.old[chunk])
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             ids = None
         elif chunk.isalpha():
-            ids = self.pieces(b" " + chunk.encode())
+            ids = self._bpe(b" " + chunk.encode())
         elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            ids = self.pieces(b" " + chunk[:-1].encode()) + self.pieces(chunk[-1].encode())
+            word = chunk[:-1]
+            ids = (self.young.get(word) or self._chunk(word)) + self._piece(chunk[-1].encode())
         else:
             ids = self._plain(" " + chunk)
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[chunk] = ids
-        return ids
+        return self._keep(chunk, ids) if len(chunk) <= SHORT else ids
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
         """A space between two other characters always starts a match, so what lies between such spaces is cached."""
         first, *chunks = text.split(" ")
         if not chunks or not first or first[-1].isspace():
-            return list(self._plain(text))
+            return self._plain(text)
         found = list(map(self.young.get, chunks))
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
                     found[i] = ids = self._chunk(chunks[i])
                     if ids is None:
-                        return list(self._plain(text))
-        return [*self._plain(first), *chain.from_iterable(found)]
+                        return self._plain(text)
+        return self._plain(first) + b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return array("I", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -202,7 +229,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, ids: bool =
             of_bytes.append(hashlib.sha256(c.decode(got)).hexdigest())
         return [n, *[rows] * ids, of_ids, of_bytes]
 
-    return map_texts(docs, run, "n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, run, "n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string", done=lambda: codec(rank_file, pattern).forget())
 
 
 def public_codec() -> tuple[str, str]:
