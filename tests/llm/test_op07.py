@@ -66,6 +66,41 @@ def test_exact_and_edited_copies_are_found(spark, block, monkeypatch):
     assert kept.count() == len(docs) + len(helpers.ODD) - len({d for d, _ in want})
 
 
+def test_heavily_edited_copies_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices(WORDS[:60] if i % 2 else WORDS, k=n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 12, 15, 20, 30, 40])]
+    docs = []
+    for d in range(150):
+        text = rng.choices(WORDS[:60] if d % 4 == 0 else WORDS, k=rng.randint(0, 60))
+        copy, how = items[d % 15][1].split(), d // 15 % 5
+        if how == 0:  # every third word replaced: no run of three words is left
+            copy = ["edit" if j % 3 == 2 else w for j, w in enumerate(copy)]
+        elif how == 1:  # a word put in after each
+            copy = [x for w in copy for x in (w, "edit")]
+        else:
+            for _ in range(rng.randint(0, len(copy) * 35 // 100)):
+                j = rng.randrange(len(copy))
+                copy[j : j + 1] = rng.choice([["edit"], [], [copy[j], "edit"]]) if len(copy) > 1 else copy
+        at = rng.randint(0, len(text))
+        docs.append((d, " ".join(text[:at] + copy + text[at:]), "en", "a", 1))
+    want = {}
+    for d, text, *_ in docs:
+        for i, item in items:
+            score = smith_waterman(item.split(), text.split()) / len(item.split())
+            if score >= (op.MIN_SCORE if len(item.split()) > op.GRAM else 1):
+                want[d, i] = score
+    got = op.contaminated(spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_the_seeds_that_occur_are_not_left_out(spark):
+    """A copy with words 3, 6 and 9 of 12 replaced; its only whole run of three words had been discarded."""
+    item = WORDS[:12]
+    copy = ["edit" if j in (2, 5, 8) else w for j, w in enumerate(item)]
+    got = op.contaminated(spark.createDataFrame([(1, " ".join(copy), "en", "a", 1)], helpers.SCHEMA), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in got] == [(1, 7, smith_waterman(item, copy) / 12)]
+
+
 def test_an_item_in_every_document_is_found(spark):
     item = " ".join(WORDS[:30])
     docs = spark.createDataFrame([(i, f"w{i + 50} {item} w{i + 90}", "en", "a", 1) for i in range(50)], helpers.SCHEMA)

@@ -1,14 +1,24 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters (A-Z lowered), digits and characters beyond ASCII.
-Every run of ``GRAM`` words of a test item may be a seed.  A first pass over all
-documents counts in how many each seed occurs; an item keeps the rarest
-``RARE_SHARE`` of its own seeds, however common they are, so an item that leaked
-into a large part of the corpus is still found.  A second pass joins the kept seeds
-with the training texts, takes a window of the text around the seeds that lie near
-one diagonal, and aligns it with the item word by word.  The score is the best
-local alignment against that of the item with itself; from ``MIN_SCORE`` on the
-text holds the item, be it an exact, edited or paraphrased copy.
+Every pair of neighbouring words of a test item is a seed; a text holds it where the
+two words stand next to each other or with one word in between.  Items of up to
+``GRAM`` words are too short to be known by a part: they are their own only seed and
+must be whole, although fewer of their words may reach ``MIN_SCORE``.  A first pass
+over all documents counts in how many each seed occurs; an item leaves out the
+commonest of its seeds, no more than half of the hits that a copy must have, so no
+copy can be missed.  A second pass joins the kept seeds with the training texts,
+takes the parts of the text where enough of them lie near each other, and aligns these
+with the item word by word.  The score is the best local alignment against that of the
+item with itself; from ``MIN_SCORE`` on the text holds the item, be it an exact,
+edited or paraphrased copy.
+
+How many hits a copy must have: let an item have n words, and an alignment m matches,
+d item words replaced or left out, and x words put in.  From score >= n / 2 follows
+x <= 2m - n - d, hence d <= n / 3 and a span of at most 2n words of the text.  Of the
+m - 1 steps from match to match at most d pass over an item word and at most x / 2
+over two words or more put in; the rest, at least n / 2 - 1 - d / 2 >= n / 3 - 1, are
+hits of different seeds at different places.  This holds for the weights below.
 
 Test items are handed to the tasks in blocks of at most ``BLOCK_CHARS`` characters,
 each against all documents; texts are never shuffled.
@@ -20,7 +30,7 @@ of equals).  Rows repeated in ``documents`` give repeated pairs.
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -31,9 +41,10 @@ from pyspark.sql import functions as F
 
 from versograph.llm.common import DOCUMENT_COLUMNS, map_texts, slices, table
 
-GRAM, RARE_SHARE, MIN_SCORE = 3, 0.75, 0.5
+GRAM, MIN_SCORE = 3, 0.5
+PAIRS = 0  # in place of the length of a run: pairs of words at distance 1 or 2
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
-BLOCK_CHARS, BATCH, SLICE_BYTES = 4_000_000, 512, 4 << 20
+BLOCK_CHARS, BATCH, CELLS, SLICE_BYTES = 4_000_000, 512, 1 << 18, 4 << 20
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123))
 WORDS_ONLY = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 
@@ -43,7 +54,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Items:
-    """A block of test items: words as numbers from 1, and where each seed occurs."""
+    """A block of test items: words as numbers from 1, and the seeds of each."""
 
     def __init__(self, rows: list[tuple[int | None, bytes | None]]):
         rows = [(i, w) for i, t in rows if (w := words(t))]
@@ -53,11 +64,14 @@ class Items:
         self.base = len(known) + 1
         self.words = [np.array([self.number[x] for x in w], dtype=np.int64) for _, w in rows]
         self.length = np.array(list(map(len, self.words)), dtype=np.int64)
-        seeds = []
+        self.must = np.maximum(1, -(-self.length // 3) - 1)  # hits that a copy has at least
+        seeds: Counter = Counter()
         for k, w in enumerate(self.words):
-            g = min(GRAM, len(w))
-            seeds += [(g, self.key(w[o : o + g]), k, o) for o in range(len(w) - g + 1)]
-        self.seeds = sorted(seeds)
+            if len(w) <= GRAM:
+                seeds[len(w), self.key(w), k] += 1
+            else:
+                seeds.update((PAIRS, self.key(w[o : o + 2]), k) for o in range(len(w) - 1))
+        self.seeds = dict(sorted(seeds.items()))  # (length of run or PAIRS, key, item): times in the item
 
     def key(self, run: np.ndarray) -> int:
         out = 0
@@ -65,39 +79,41 @@ class Items:
             out = out * self.base + x
         return out
 
-    def places(self, rare: set[tuple[int, int]] | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By n-gram length: sorted keys, items and offsets of the seeds (those in ``rare``)."""
+    def places(self, without: set[tuple[int, int]] = frozenset()) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length of run: sorted keys and items of the seeds (those not in ``without``)."""
         out = {}
-        for g in range(1, GRAM + 1):
-            own = [s for s in self.seeds if s[0] == g and (rare is None or (k_of(s), s[2]) in rare)]
+        for g in range(PAIRS, GRAM + 1):
+            own = [s for s in self.seeds if s[0] == g and (k_of(s), s[2]) not in without]
             if own:
-                out[g] = tuple(np.array([s[i] for s in own], dtype=np.int64) for i in (1, 2, 3))
+                out[g] = tuple(np.array([s[i] for s in own], dtype=np.int64) for i in (1, 2))
         return out
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' words as numbers (0: in no item), a 0 after each text; and where each text begins."""
+        """The texts' words as numbers (0: in no item), a -1 after each text; and where each text begins."""
         get, found, begins, n = self.number.get, [], [], 0
         for t in texts:
             w = words(t)
             begins.append(n)
             n += len(w) + 1
             found.append(map(get, w, repeat(0)))
-            found.append((0,))
+            found.append((-1,))
         return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=n), np.array(begins, dtype=np.int64)
 
     def hits(self, flat: np.ndarray, places: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each n-gram length: positions in the texts and the row of ``places`` where that key begins."""
-        for g, (keys, _, _) in places.items():
-            ok = np.ones(max(0, len(flat) - g + 1), dtype=bool)
-            for o in range(g):
-                ok &= flat[o : o + len(ok)] > 0
-            at = np.flatnonzero(ok)
-            key = flat[at]
-            for o in range(1, g):
-                key = key * self.base + flat[at + o]
-            row = np.searchsorted(keys, key)
-            hit = (row < len(keys)) & (keys[np.minimum(row, len(keys) - 1)] == key)
-            yield g, at[hit], row[hit]
+        """For each length of run, and each distance of pairs: positions in the texts and the row of ``places`` where that key begins."""
+        for g, (keys, _) in places.items():
+            for steps in ((1,), (2,)) if g == PAIRS else ((*range(1, g),),):
+                far = max(steps, default=0)
+                ok = flat[: max(0, len(flat) - far)] > 0
+                for o in range(1, far + 1):
+                    ok = ok & (flat[o : o + len(ok)] > (0 if o in steps else -1))
+                at = np.flatnonzero(ok)
+                key = flat[at]
+                for o in steps:
+                    key = key * self.base + flat[at + o]
+                row = np.searchsorted(keys, key)
+                hit = (row < len(keys)) & (keys[np.minimum(row, len(keys) - 1)] == key)
+                yield g, at[hit], row[hit]
 
 
 def k_of(seed: tuple) -> int:
@@ -106,7 +122,7 @@ def k_of(seed: tuple) -> int:
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best local alignment of each row of ``items`` with that row of ``windows``, and the window position where it ends.
+    """Best local alignment of each row of ``items`` with that row of ``windows``, and the leftmost window position where it ends.
 
     Rows are padded with numbers that never match.  Gaps cost the same per word, so a
     whole row of the matrix comes from a running maximum.
@@ -123,41 +139,50 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
         before[:, 1:] = cell
         at = cell.argmax(axis=1)
         top = cell[np.arange(n), at]
-        better = top > best
+        better = (top > best) | ((top == best) & (at < end))
         best[better], end[better] = top[better], at[better]
     return best, end
 
 
-def found(items: Items, places: dict, texts: list[bytes]) -> list[list[dict]]:
-    """For each text: the items it holds, with score and span of words."""
-    flat, begins = items.read(texts)
-    ends = np.append(begins[1:], len(flat)) - 1
-    docs, which, diagonal = [], [], []
-    for _, at, row in items.hits(flat, places):
-        keys, item, offset = places[_]
+def near(items: Items, places: dict, must: np.ndarray, flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, item, begin and end of the parts of ``flat`` where at least ``must`` hits of an item can be of one alignment."""
+    size, codes = len(flat) + 1, [np.zeros(0, dtype=np.int64)]
+    for g, at, row in items.hits(flat, places):
+        keys, item = places[g]
         count = np.searchsorted(keys, keys[row], side="right") - row
         pick = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(row, count)
         at = np.repeat(at, count)
-        docs.append(np.searchsorted(begins, at, side="right") - 1)
-        which.append(item[pick])
-        diagonal.append(at - offset[pick])
+        doc = np.searchsorted(begins, at, side="right") - 1
+        codes.append((doc * len(items.ids) + item[pick]) * size + at)
+    code = np.unique(np.concatenate(codes))
+    both, at = np.divmod(code, size)
+    item = both % len(items.ids)
+    i = np.arange(len(code))
+    j = np.minimum(i + must[item] - 1, len(code) - 1)
+    span = 2 * items.length[item]
+    i = np.flatnonzero((j - i == must[item] - 1) & (both[j] == both) & (at[j] - at <= span))
+    both, span, a, b = both[i], span[i], at[j[i]] - span[i], at[i] + span[i]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (both[1:] != both[:-1]) | (a[1:] > b[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i))[: len(first)] - 1
+    doc, item = np.divmod(both[first], len(items.ids))
+    ends = np.append(begins[1:], len(flat)) - 1
+    return doc, item, np.maximum(a[first], begins[doc]), np.minimum(b[last], ends[doc])
+
+
+def found(items: Items, places: dict, must: np.ndarray, texts: list[bytes]) -> list[list[dict]]:
+    """For each text: the items it holds, with score and span of words."""
+    flat, begins = items.read(texts)
+    doc, item, a, b = near(items, places, must, flat, begins)
     out: list[list[dict]] = [[] for _ in texts]
-    if not docs or not sum(map(len, docs)):
-        return out
-    doc, item, diag = (np.concatenate(x) for x in (docs, which, diagonal))
-    order = np.lexsort((diag, item, doc))
-    doc, item, diag = doc[order], item[order], diag[order]
-    slack = 4 + items.length[item] // 4
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > slack[1:])
-    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)) - 1
-    doc, item, slack = doc[first], item[first], slack[first]
-    a = np.maximum(diag[first] - slack, begins[doc])
-    b = np.minimum(diag[last] + items.length[item] + slack, ends[doc])
     best: dict[tuple[int, int], tuple] = {}
     by_size = np.lexsort((b - a, items.length[item]))
-    for at in range(0, len(by_size), BATCH):
+    at = 0
+    while at < len(by_size):
         part = by_size[at : at + BATCH]
+        part = part[: max(1, int((np.maximum.accumulate((b - a)[part]) * np.arange(1, len(part) + 1) <= CELLS).sum()))]
+        at += len(part)
         it = padded([items.words[k] for k in item[part]], -1)
         win = padded([flat[x:y] for x, y in zip(a[part], b[part], strict=True)], -2)
         score, end = align(it, win)
@@ -184,8 +209,8 @@ def padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
     return out
 
 
-def rare_places(docs: DataFrame, items: Items) -> dict:
-    """The seeds that items keep: the rarest of each by the number of documents that hold them."""
+def rare_places(docs: DataFrame, items: Items) -> tuple[dict, np.ndarray]:
+    """The seeds that items keep, without the commonest of each by the number of documents that hold them; and the hits that a copy still must have."""
     every = items.places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +228,19 @@ def rare_places(docs: DataFrame, items: Items) -> dict:
 
     counted = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     rarity = {r.seed: r.n for r in counted.collect()}  # as many rows as the block has seeds, at most
-    own: dict[int, set[int]] = {}
-    for s in items.seeds:
-        own.setdefault(s[2], set()).add(k_of(s))
-    rare = set()
-    for k, keys in own.items():
-        ranked = sorted(keys, key=lambda x: (rarity.get(x, 0), x))
-        rare.update((x, k) for x in ranked[: math.ceil(len(ranked) * RARE_SHARE)])
-    return items.places(rare)
+    own: dict[int, list[tuple[int, int, int]]] = {}
+    for s, times in items.seeds.items():
+        own.setdefault(s[2], []).append((rarity.get(k_of(s), 0), k_of(s), times))
+    without, must = set(), items.must.copy()
+    for k, seeds in own.items():
+        spare = int(must[k]) // 2
+        for _, key, times in sorted(seeds, reverse=True):
+            if times > spare:
+                break
+            spare -= times
+            must[k] -= times
+            without.add((key, k))
+    return items.places(without), must
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -232,8 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every document that holds an item."""
     parts = []
     for items in item_blocks(benchmark):
-        places = rare_places(docs, items)
-        model = docs.sparkSession.sparkContext.broadcast((items, places))  # a block of items
+        model = docs.sparkSession.sparkContext.broadcast((items, *rare_places(docs, items)))  # a block of items
         parts.append(map_texts(docs, lambda texts, model=model: [found(*model.value, texts)], FOUND))
     if not parts:
         parts.append(map_texts(docs.limit(0), lambda texts: [[[] for _ in texts]], FOUND))
@@ -247,7 +276,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with the columns of documents."""
     out = docs.select(*DOCUMENT_COLUMNS)
     for items in item_blocks(benchmark):
-        model = docs.sparkSession.sparkContext.broadcast((items, rare_places(docs, items)))
+        model = docs.sparkSession.sparkContext.broadcast((items, *rare_places(docs, items)))
         flagged = map_texts(out, lambda texts, model=model: [[bool(x) for x in found(*model.value, texts)]], "__leak boolean", carry=DOCUMENT_COLUMNS)
         out = flagged.where("NOT __leak").drop("__leak")
     return out
