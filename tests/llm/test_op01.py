@@ -29,6 +29,14 @@ def test_fuzzy_labels_match_brute_force(text):
     assert {x[2] for x in SCAN.fuzzy(flat)} == want
 
 
+def test_a_worse_match_before_the_best_is_found():
+    for text, want in (
+        ("relased undr the mit license released under the mit license", [(0, 28, 2), (29, 59, 0)]),
+        ("released under the mit license relased undr the mit license", [(0, 30, 0), (31, 59, 2)]),
+    ):
+        assert [(a, b, e) for a, b, label, e, _ in SCAN.fuzzy(text) if label == "mit"] == want
+
+
 def test_spans_are_places_in_the_text():
     text = "Ünï — x.\n\nReleased,  under the (MIT) License!! and so on"
     (hit,) = SCAN.scan(text.encode())["hits"]

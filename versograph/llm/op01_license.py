@@ -82,10 +82,12 @@ class Scanner:
         for i, own in windows.items():
             notice, label, k, pattern = self.notices[i]
             for a, b in own:
-                at = a
-                while at < b and (m := pattern.search(text, at, b)):
-                    found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, len(notice)))
-                    at = max(m.end(), at + 1)
+                open_parts = [(a, b)]
+                while open_parts:
+                    start, end = open_parts.pop()
+                    if end - start >= len(notice) - k and (m := pattern.search(text, start, end)):
+                        found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, len(notice)))
+                        open_parts += [(start, m.start()), (m.end(), end)]  # worse matches stand before the best too
         kept: list[tuple[int, int, str, int, int]] = []
         for edits, start, end, label, n in sorted(found):
             if not any(label == x[2] and start < x[1] and x[0] < end for x in kept):
