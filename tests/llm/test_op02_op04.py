@@ -31,6 +31,15 @@ def test_a_machine_learns_an_interaction():
     assert np.mean(right) > 0.95
 
 
+def test_metadata_reaches_training_and_scores(spark):
+    """Equal texts, good where n_chars is that of the text: nothing else tells them apart."""
+    rows = [(i, "some words of a text", "en", "a", (20, 2000, None)[i % 3]) for i in range(300)]
+    docs = helpers.table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = quality.score_documents(docs, quality.train(docs, labels, holdout=9), holdout=9).collect()
+    assert len(got) == 300 and all((r.score > 0.5) == (r.doc_id % 3 == 0) for r in got)
+
+
 def test_chain_feeds_out_of_fold_probabilities_on():
     rng = np.random.default_rng(3)
     rows, y = [], []

@@ -79,11 +79,12 @@ def map_texts(
     carry: tuple[str, ...] = ("doc_id",),
     size: int = SLICE_BYTES,
     done: Callable[[], None] | None = None,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """``carry`` columns of ``docs`` plus the columns ``ddl`` that ``fn`` makes of the texts.
 
     ``fn`` gets the UTF-8 bytes of whole texts (null: empty), about ``size`` bytes at
-    once, and returns one list per new column.  ``done`` is called at the end of each task.
+    once, then a list for each column of ``also``, and returns one list per new column.  ``done`` is called at the end of each task.
     """
     kept = [StructField("doc_id", LongType()) if c == "doc_id" else docs.schema[c] for c in carry]
     schema = StructType([*kept, *parsed(ddl)])
@@ -94,7 +95,7 @@ def map_texts(
         try:
             for batch in batches:
                 for part in slices(batch, n, size):
-                    made = fn([x or b"" for x in part.column(n).to_pylist()])
+                    made = fn([x or b"" for x in part.column(n).to_pylist()], *(c.to_pylist() for c in part.columns[n + 1 :]))
                     new = [pa.array(x, type=t.type) for x, t in zip(made, list(arrow)[n:], strict=True)]
                     yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], schema=arrow)
         finally:
@@ -102,7 +103,7 @@ def map_texts(
                 done()
 
     chosen = [F.col("doc_id").cast("bigint").alias("doc_id") if c == "doc_id" else F.col(c) for c in carry]
-    return docs.select(*chosen, F.col("text").cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*chosen, F.col("text").cast("string").cast("binary").alias("__text"), *[F.col(c).alias(f"__also_{c}") for c in also]).mapInArrow(run, schema)
 
 
 def held_out(remainder: int) -> F.Column:

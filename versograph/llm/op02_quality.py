@@ -7,7 +7,8 @@ pairs comes in linear time as ½ Σ_f [(Σ_i v_if x_i)² − Σ_i v_if² x_i²].
 Training reads at most ``MAX_TRAIN`` labelled rows (those with the smallest hashes
 of their ids), as a documented bound; features are computed on the executors.
 Scoring reads every whole text.  Labels, language, source and doc_id never enter a
-feature; the metadata feature is n_chars against the text's own length.
+feature; the metadata features are how far n_chars is from the text's own length in
+code points (the logarithm of their ratio, without sign), and whether it is missing.
 
 Results: null and empty texts have structure features only and still get a score;
 null labels are not learned from; if there are no labels, every score is 0.5.
@@ -25,7 +26,7 @@ from pyspark.sql.types import LongType
 
 from versograph.llm.common import held_out, map_texts, table
 
-HASHED, STRUCTURE, RANK = 1 << 15, 14, 8
+HASHED, STRUCTURE, RANK = 1 << 15, 16, 8
 SIZE = HASHED + STRUCTURE
 MAX_TRAIN, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 6, 64, 0.05, 1e-4, 7
 THRESHOLD = 0.3
@@ -33,8 +34,8 @@ _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS, _MARKS = b"#*$%&|<>", b".,!?;:"
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: hashed lower-case words by damped frequency (norm 1), then structure statistics."""
+def features(text: bytes, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values: hashed lower-case words by damped frequency (norm 1), then structure statistics and metadata."""
     words = text.lower().split()
     n, size = len(words), max(1, len(text))
     seen = Counter(words)
@@ -47,10 +48,13 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     rate = lambda chars: (size - len(text.translate(None, chars))) / size if text else 0.0
     adjacent = sum(map(bytes.__eq__, words, words[1:])) / n if n else 0.0
     five = list(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))
+    code_points = len(text.decode("utf-8", "replace"))
+    off = abs(np.log1p(max(0, n_chars)) - np.log1p(code_points)) if n_chars is not None else 0.0
     structure = [
         np.log1p(n) / 5, size / max(1, n) / 8, np.sqrt(rate(_UPPER)) * 2, np.sqrt(rate(_SYMBOLS)) * 2, np.sqrt(rate(_MARKS)) * 2,
         np.sqrt(rate(_DIGITS)) * 2, np.sqrt(rate(b"!")) * 2, len(seen) / max(1, n), adjacent, seen.most_common(1)[0][1] / n if n else 0.0,
         1 - len(set(full)) / len(full) if full else 0.0, np.log1p(n / len(full)) / 4 if full else 0.0, 1 - len(set(five)) / len(five) if five else 0.0, 1.0,
+        off, float(n_chars is None),
     ]
     return np.concatenate([index, np.arange(HASHED, SIZE)]), np.concatenate([value, np.minimum(structure, 3.0)])
 
@@ -65,8 +69,8 @@ class Machine:
         vx = self.v[index] * value[:, None]
         return float(self.w0 + self.w[index] @ value + 0.5 * (np.square(vx.sum(0)) - np.square(vx).sum(0)).sum())
 
-    def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text)), -30, 30))))
+    def score(self, text: bytes, n_chars: int | None = None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text, n_chars)), -30, 30))))
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
         """Mini-batches with per-coordinate rates (AdaGrad); the order is fixed by ``SEED``."""
@@ -101,19 +105,19 @@ class Machine:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, holdout: int, limit: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text, label of at most ``limit`` labelled rows outside the held-out fold."""
+    """doc_id, text, n_chars, label of at most ``limit`` labelled rows outside the held-out fold."""
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("__y"))
     chosen = chosen.where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(holdout)).orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(limit)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", holdout: int = 0, limit: int = MAX_TRAIN) -> Machine:
-    def run(texts: list[bytes]) -> list:
-        made = [features(t) for t in texts]
+    def run(texts: list[bytes], n_chars: list[int | None]) -> list:
+        made = [features(t, n) for t, n in zip(texts, n_chars, strict=True)]
         return [[i.astype(np.int32).tobytes() for i, _ in made], [v.astype(np.float32).tobytes() for _, v in made]]
 
     chosen = training_rows(docs, labels, column, holdout, limit)
-    rows = map_texts(chosen, run, "__i binary, __v binary", carry=("doc_id", "__y")).collect()
+    rows = map_texts(chosen, run, "__i binary, __v binary", carry=("doc_id", "__y"), also=("n_chars",)).collect()
     rows.sort(key=lambda r: (r.doc_id, r["__y"], r["__i"]))
     if not rows:
         return Machine(v=np.zeros((SIZE, RANK)))
@@ -125,11 +129,11 @@ def score_documents(docs: DataFrame, machine: Machine, holdout: int = 0) -> Data
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))  # SIZE × (RANK + 1) numbers
 
-    def run(texts: list[bytes]) -> list:
+    def run(texts: list[bytes], n_chars: list[int | None]) -> list:
         m = Machine(*model.value)
-        return [[m.score(t) for t in texts]]
+        return [[m.score(t, n) for t, n in zip(texts, n_chars, strict=True)]]
 
-    scored = map_texts(docs.withColumn("doc_id", F.col("doc_id").cast(LongType())), run, "score double")
+    scored = map_texts(docs.withColumn("doc_id", F.col("doc_id").cast(LongType())), run, "score double", also=("n_chars",))
     return scored.select("doc_id", held_out(holdout).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
