@@ -56,3 +56,25 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert op05_bpe.encode_documents(helpers.table(spark, []), FILE, PATTERN).count() == 0
+
+
+def test_one_queue_for_all_pieces_is_as_one_pair_at_a_time():
+    import random
+
+    r = random.Random(5)
+    pieces = [bytes(r.choice(b"abcdehilnorst etion") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    pieces += [bytes(r.randrange(256) for _ in range(r.randint(1, 30))) for _ in range(1000)] + [b"a" * n for n in range(1, 40)] + [b"aab" * 30, b"\x00" * 9]
+    ids, ends = CODEC.merges.encode(pieces)
+    starts = [0, *ends.tolist()]
+    for piece, a, b in zip(pieces, starts, ends.tolist(), strict=False):
+        assert ids[a:b].tolist() == op05_bpe.bpe(piece, CODEC.ranks)
+
+
+def test_merges_that_make_a_smaller_rank_are_done_again_alone():
+    """Rank 259 (bc) makes abc of rank 257, which must come before the second bc."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"cd": 256, b"abc": 257, b"bcbc": 258, b"bc": 259}
+    true = tiktoken.Encoding("small", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+    pieces = [b"abcbc", b"bcabc", b"bcbc", b"abcd", b"xbcabcbc", b"abcabcabc", b"bcdbcbcd"]
+    ids, ends = op05_bpe.Merges(ranks).encode(pieces)
+    starts = [0, *ends.tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(starts, ends.tolist(), strict=False)] == [true.encode_ordinary(p.decode()) for p in pieces]
