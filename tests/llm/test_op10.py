@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from tests.llm import helpers
+from versograph.llm import common
 from versograph.llm import op10_simhash as op
 
 
@@ -90,7 +91,11 @@ def test_a_dense_group_is_merged_without_all_pairs():
     assert len(u) == len(fp) - 1 and set(v.tolist()) == {fp[0]}
 
 
-def test_documents(spark, monkeypatch):
+@pytest.mark.parametrize(("sent", "few", "task"), [(50_000, 200, 200_000), (3, 4, 7)])
+def test_documents(spark, monkeypatch, sent, few, task):
+    monkeypatch.setattr(common, "SENT_KEYS", sent)
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(op, "TASK_ROWS", task)
     base = "the same words go on and on in every copy of this text until the very end of the line is reached at last"
     rows = [*helpers.ODD, *[(100 + i, base if i % 3 else base.upper(), "en", "a", 1) for i in range(30)]]
     rows += [(200 + i, base + f" tail{i}", "en", "a", 1) for i in range(40)]
@@ -112,7 +117,10 @@ def test_documents(spark, monkeypatch):
     assert {str(smallest.get(root[brute_print(r.text)])) for r in kept} == {str(r.doc_id) for r in kept}
 
 
-def test_large_buckets_are_dealt_into_parts(spark):
+@pytest.mark.parametrize(("sent", "task"), [(50_000, 200_000), (2, 9)])
+def test_large_buckets_are_dealt_into_parts(spark, monkeypatch, sent, task):
+    monkeypatch.setattr(common, "SENT_KEYS", sent)
+    monkeypatch.setattr(op, "TASK_ROWS", task)
     prints = sorted(set(many(11)))
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
     found = op.components(op.links(df, len(prints), bucket=5)).collect()
@@ -126,3 +134,15 @@ def test_large_buckets_are_dealt_into_parts(spark):
 def test_empty_table(spark):
     assert op.deduplicate(helpers.table(spark, [])).count() == 0
     assert op.one_per_class(helpers.table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("sent", [1000, 10, 2])
+def test_join_of_hot_keys_loses_nothing(spark, monkeypatch, how, sent):
+    monkeypatch.setattr(common, "SENT_KEYS", sent)
+    monkeypatch.setattr(common, "FEW_ROWS", 5)
+    keys = [1] * 40 + [2] * 20 + [3] * 3 + list(range(4, 20))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    facts = spark.createDataFrame([(k, f"f{k}", keys.count(k)) for k in {*keys} - {3, 5}], "k long, f string, __n long")
+    want = [(k, i, None if k in (3, 5) else f"f{k}") for i, k in enumerate(keys) if how == "left" or k not in (3, 5)]
+    assert sorted(map(tuple, common.joined(rows, facts, ["k"], len(keys), how).collect()), key=str) == sorted(want, key=str)

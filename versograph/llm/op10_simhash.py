@@ -16,7 +16,10 @@ every two parts are joined in a task of their own, so no task holds a large grou
 Within a task, linked fingerprints are merged at once, and pairs of nodes that are
 already in one class are dropped; a task returns each fingerprint's smallest
 partner, never all pairs.  Classes across tasks follow by alternating large-star
-and small-star steps over written tables.
+and small-star steps over written tables.  A task goes through its units in order and
+holds a bounded number of rows; keys with a large share of the rows (a class, a star,
+a fingerprint) are joined by ``joined``, not gathered in one task.  A dense bucket of
+n fingerprints makes n² / ``BUCKET`` rows, as every two of its parts must be compared.
 
 Results: documents of equal fingerprints are one class; texts without words have
 fingerprint zero and are linked like any other.  Null ids count for membership
@@ -35,13 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versograph.llm.common import DOCUMENT_COLUMNS, map_texts, table, written
+from versograph.llm.common import DOCUMENT_COLUMNS, joined, map_texts, stored, table, written
 
 BITS, BUDGET, SHINGLE, SEED = 64, 4, 4, 42
 #: Evenly filled buckets stay below EVEN; larger ones than BUCKET are dealt into parts.
 EVEN, BUCKET = 500, 2000
 #: Pairs of trie nodes expanded at once, and pairs of keys below which two nodes are compared directly.
 CHUNK, LEAF = 1 << 19, 16
+#: Rows of whole units that a task joins at once.
+TASK_ROWS = 200_000
 #: Ids of near-duplicates sent to every task when so few are to be dropped.
 BROADCAST_DROPS = 500_000
 
@@ -219,58 +224,80 @@ def links(distinct: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
         return reduce(lambda x, y: F.shiftleft(x, y[1]).bitwiseOR(y[0]), [(p, w) for p, (_, w) in zip(parts[1:], chosen[1:], strict=True)], parts[0])
 
     rows = distinct.select("fp", F.posexplode(F.array(*[bits(c) for c in choices])).alias("choice", "key"))
-    big = rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
-    big = written(big.select("choice", "key", F.ceil(F.col("n") / bucket).cast("int").alias("parts")), "simhash-buckets")
-    rows = rows.join(F.broadcast(big), ["choice", "key"], "left")  # at most rows / bucket buckets are that large
+    big = rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket)
+    big = written(big.select("choice", "key", "__n", F.ceil(F.col("__n") / bucket).cast("int").alias("parts")), "simhash-buckets")
+    rows = joined(rows, big, ["choice", "key"], n * len(choices), "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(mine, j) * F.col("parts") + F.greatest(mine, j))
     rows = rows.select("fp", "choice", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(each)).alias("pair"))
     rows = rows.select("fp", "choice", F.xxhash64("choice", "key", "pair").alias("unit"))
-    dealt = rows.repartition(F.col("unit"))
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(choices) // TASK_ROWS)
+    dealt = rows.repartition(tasks, "unit").sortWithinPartitions("unit")
+
+    def merged(parts: list) -> pa.RecordBatch:
+        u, v = joined_task(*(np.concatenate(x) for x in zip(*parts, strict=True)), choices)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if parts:
-            fp, choice, unit = (np.concatenate(x) for x in zip(*parts, strict=True))
-            u, v = joined_task(fp, choice, unit, choices)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+        held, size = [], 0
+        for batch in batches:
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if size >= TASK_ROWS and held:  # what came before the last unit is complete
+                cut = int(np.searchsorted(part[2], part[2][-1])) if len(part[2]) else 0
+                if cut or held[-1][2][-1] != part[2][-1]:
+                    yield merged([*held, [x[:cut] for x in part]])
+                    held, size = [], 0
+                    part = [x[cut:] for x in part]
+            if len(part[0]):
+                held.append(part)
+                size += len(part[0])
+        if held:
+            yield merged(held)
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node of a class except the smallest, with the smallest."""
-    edges = written(edges, "simhash-links")
+    edges, drop = stored(edges, "simhash-links")
     seen = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "simhash-classes")
+        least, drop_least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n")).select("u", F.least("u", "m").alias("m"), "__n"), "simhash-least")
+        total = 2 * edges.count()
+        large, drop_large = stored(joined(both, least, ["u"], total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "simhash-large")
+        drop(), drop_least()
+        least, drop_least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n")), "simhash-least")
+        small = joined(large, least, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, drop = stored(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "simhash-classes")
+        drop_large(), drop_least()
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).head()
         if now == seen or not now["n"]:
             return edges
         seen = now
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, root) of every distinct fingerprint in ``prints`` (doc_id, fp)."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("m")), "simhash-distinct")
+def members(distinct: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint that is linked with another, as a written table."""
     found = components(links(distinct.select("fp"), distinct.count()))
-    member = found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    member = member.union(found.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    member = written(member.join(distinct, "fp"), "simhash-members")
-    ids = member.groupBy("root").agg(F.min("m").alias("component_id"))
-    linked = member.select("fp", "root").join(ids, "root")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "m").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    linked = found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return written(linked.union(found.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()), "simhash-members")
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, __n: its rows) of every distinct fingerprint in ``prints`` (doc_id, fp), as a written table."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("__n")), "simhash-distinct")
+    member = members(distinct)
+    ids = member.join(distinct, "fp").groupBy("root").agg(F.min("m").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    linked = joined(member, written(ids, "simhash-ids"), ["root"], member.count()).select("fp", "component_id", F.lit(True).alias("linked"))
+    found = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("m")).alias("component_id"), "__n")
+    return written(found, "simhash-ids")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     prints = written(map_texts(docs, fingerprints, "fp long"), "simhash-prints")
-    made = prints.join(classes(prints).select("fp", "component_id"), "fp")
+    made = joined(prints, classes(prints), ["fp"], prints.count())
     return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -283,10 +310,10 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), *DOCUMENT_COLUMNS)
     rows = map_texts(docs, fingerprints, "fp long", carry=DOCUMENT_COLUMNS)
     one = written(rows.groupBy("fp").agg(F.min(order).alias("d")).select("fp", "d.*"), "simhash-first")
-    found = classes(one.select("doc_id", "fp"))
-    first = found.join(one.select("fp", "none", "doc_id"), "fp").select("fp", "root", F.struct("none", "doc_id", "fp").alias("k"))
-    keep = first.groupBy("root").agg(F.min("k").alias("k")).select("root", F.col("k.fp").alias("keep"))
-    drops = written(first.join(keep, "root").where("fp <> keep").select("fp"), "simhash-drops")
+    member = members(one.select("fp"))
+    first = member.join(one.select("fp", "none", "doc_id"), "fp")  # both have a row per fingerprint
+    keep = first.groupBy("root").agg(F.min(F.struct("none", "doc_id", "fp")).alias("k")).select(F.col("k.fp").alias("fp"))
+    drops = written(member.select("fp").join(keep, "fp", "left_anti"), "simhash-drops")
     if drops.count() <= BROADCAST_DROPS:
         drops = F.broadcast(drops)
     return one.join(drops, "fp", "left_anti").select(*DOCUMENT_COLUMNS)
