@@ -10,22 +10,46 @@ from tests.llm import helpers
 from versograph.llm import op03_lm as op
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 13])
 @pytest.mark.parametrize("universe", [1, 100, 1 << 20, 1 << 45, 1 << 64])
-def test_monotone_round_trip_and_search(universe):
+def test_monotone_round_trip_and_search(universe, step, monkeypatch):
+    monkeypatch.setattr(op, "STEP", step)
     rng = np.random.default_rng(2)
     values = np.unique(rng.integers(0, min(universe, 1 << 62), 500, dtype=np.uint64))
     m, rest = op.Monotone.unpack(memoryview(op.Monotone.of(values, universe).pack() + b"rest"))
     assert m.values().tolist() == values.tolist() and bytes(rest) == b"rest"
+    m = op.Monotone.of(values, universe)
     if universe <= 1 << 45:
-        ask = np.concatenate([values.astype(np.int64), rng.integers(-1, universe + 5, 300)])
+        ask = np.sort(np.concatenate([values.astype(np.int64), rng.integers(-1, universe + 5, 300)]))
         at = {int(v): i for i, v in enumerate(values)}
         assert m.find(ask).tolist() == [at.get(int(x), -1) for x in ask]
         assert m[np.arange(len(values))].tolist() == values.tolist()
 
 
+def test_monotone_of_equal_numbers(monkeypatch):
+    monkeypatch.setattr(op, "STEP", 3)
+    values = np.array([0, 0, 0, 5, 5, 9, 300, 300, 70_000], dtype=np.int64)
+    m = op.Monotone.of(values, 100_000)
+    assert m[np.arange(9)].tolist() == values.tolist() == m.values().tolist()
+
+
+@pytest.mark.parametrize("top", [0, 255, 256, 1 << 33, (1 << 62)])
+def test_counts_of_any_size(top):
+    x = np.array([top, 0, 1], dtype=np.int64)
+    got, rest = op.unpacked_numbers(memoryview(op.packed_numbers(x) + b"rest"))
+    assert got.tolist() == x.tolist() and bytes(rest) == b"rest"
+
+
+@pytest.mark.parametrize("bits", [8, 64])
+def test_numbered_is_as_unique(bits):
+    key = np.random.default_rng(1).integers(0, 1 << min(bits, 63), 500, dtype=np.uint64)
+    keys, own, at = op.numbered(key, bits)
+    assert keys.tolist() == np.unique(key).tolist() and keys[own].tolist() == key.tolist() == key[at][own].tolist()
+
+
 def test_monotone_empty():
     m = op.Monotone.of(np.zeros(0, dtype=np.int64), 10)
-    assert m.values().tolist() == [] and m.find(np.array([0, 3])).tolist() == [-1, -1]
+    assert m.values().tolist() == [] == m[np.zeros(0, dtype=np.int64)].tolist() and m.find(np.array([0, 3])).tolist() == [-1, -1]
 
 
 def tokens(text):

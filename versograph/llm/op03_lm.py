@@ -9,18 +9,25 @@ No task ever holds the whole model.  Texts are packed into blocks of bounded siz
 (a written table).  A block sends the sorted hashes of its distinct n-grams with its
 own training counts to shards of the hash space, Elias-Fano coded; a shard adds the
 counts of all blocks up and answers each block with the totals of the n-grams it
-asked for.  What moves is one packed array per block and shard, pre-aggregated.
-The task of a block then builds the trie of the n-grams that its texts can meet:
+asked for.  What moves is one packed array per block and shard, pre-aggregated; a
+shard of which a block has no n-gram gets no row, so there are never more rows than
+distinct n-grams of blocks, however many blocks and shards there are.
+The task of a block then builds the trie of the n-grams that its texts can meet
+(a block's trie, of about ``BLOCK_BYTES`` of text, not the corpus's):
 
 * a level is a monotone sequence in Elias-Fano form (low parts as bytes, high parts
   as unary bits) with monotone pointers to each node's successors;
-* at the third level a word is coded relative to its context, as its place among the
+* at the second level a key is the context's number times the number of words plus the
+  word, at the third a word is coded relative to its context, as its place among the
   successors of the word before, so keys are small;
 * log10 probabilities and back-off weights are quantised to ``LEVELS`` steps;
-* the arrays lie in one anonymous memory map, so no folder of the machine is used.
+* the arrays lie in one anonymous memory map, so no folder of the machine is used, and
+  stay packed: a directory has the value and the bit of every ``STEP``th entry, and a
+  search unpacks only the steps that it comes to, one at a time.
 
 A query looks a word up among the successors of its context by successor search and
-backs off where it is missing.
+backs off where it is missing.  The distinct n-grams of a block are asked in sorted
+order, so a search goes through a level once.
 
 N-gram hashes get as many bits as keep the rate of false matches near 2^-16 at any
 corpus size; words keep 64 bits.
@@ -33,7 +40,9 @@ from __future__ import annotations
 
 import math
 import mmap
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +52,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versograph.llm.common import held_out, table, written
+from versograph.llm.common import held_out, release, table, written
 
 ORDER, LEVELS = 3, 4096
 #: Weight of the shorter context's estimate, by order.
 WEIGHT = {2: 8.0, 3: 4.0}
 BLOCK_BYTES, SHARD_NGRAMS, FALSE_MATCH_BITS = 5 << 20, 4_000_000, 16
+#: Entries of a level between two of its directory.
+STEP = 1 << 13
 END = np.uint64(0x9E3779B97F4A7C15)  # the hash of the end of a text
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -57,11 +68,11 @@ _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class Monotone:
-    """A non-decreasing sequence below ``universe``: low bytes, and unary high parts."""
+    """A non-decreasing sequence below ``universe``: low bytes, and unary high parts; ``samples`` and ``bits`` are every STEPth value and its bit."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, n: int, width: int):
         self.low, self.high, self.n, self.width = low, high, n, width
-        self.starts: np.ndarray | None = None
+        self.samples = self.bits = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> Monotone:
@@ -71,46 +82,52 @@ class Monotone:
         low = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
         top = (values >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, dtype=np.int64)
         bits = np.zeros(n + int(top[-1] if n else 0) + 1, dtype=np.uint8)
-        bits[top + np.arange(n)] = 1
-        return cls(low, np.packbits(bits), n, width)
-
-    def tops(self) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-
-    def lows(self) -> np.ndarray:
-        out = np.zeros((self.n, 8), dtype=np.uint8)
-        out[:, : self.width] = np.asarray(self.low).reshape(self.n, self.width)
-        return out.view("<u8").reshape(-1)
+        at = top + np.arange(n)
+        bits[at] = 1
+        out = cls(low, np.packbits(bits), n, width)
+        out.samples, out.bits = values[::STEP].astype(np.int64), at[::STEP].copy()
+        return out
 
     def values(self) -> np.ndarray:
-        low = self.lows()
-        return low if self.width == 8 else low | self.tops().astype("<u8") << np.uint64(8 * self.width)
+        """All of it, unpacked."""
+        return self._part(0, self.n, 0, 8 * len(self.high))
+
+    def _part(self, a: int, b: int, bit: int, end: int) -> np.ndarray:
+        """Entries a..b, whose bits stand in bit..end."""
+        low = np.zeros((b - a, 8), dtype=np.uint8)
+        low[:, : self.width] = np.asarray(self.low[a * self.width : b * self.width]).reshape(b - a, self.width)
+        low = low.view("<u8").reshape(-1)
+        if self.width == 8:
+            return low
+        ones = np.flatnonzero(np.unpackbits(self.high[bit >> 3 : (end >> 3) + 1])) + (bit >> 3 << 3)
+        first = np.searchsorted(ones, bit)
+        return low | (ones[first : first + b - a] - np.arange(a, b)).astype("<u8") << np.uint64(8 * self.width)
+
+    def _steps(self, step: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
+        """For each step in an ascending list: where it stands there, its first place, and its entries."""
+        cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(step)] if len(step) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            k = int(step[a])
+            end = int(self.bits[k + 1]) if k + 1 < len(self.bits) else 8 * len(self.high) - 1
+            yield slice(a, b), k * STEP, self._part(k * STEP, min(self.n, (k + 1) * STEP), int(self.bits[k]), end).astype(np.int64)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        self._open()
-        return self._low[at].astype(np.int64) | self._top[at] << 8 * self.width
-
-    def _open(self) -> None:
-        if self.starts is None:
-            self._top, self._low = self.tops(), self.lows().astype(np.min_scalar_type((1 << 8 * self.width) - 1))
-            self.starts = np.concatenate([[0], np.cumsum(np.bincount(self._top, minlength=1))])
+        """The entries at ascending places."""
+        out = np.empty(len(at), dtype=np.int64)
+        for where, first, entries in self._steps(at // STEP):
+            out[where] = entries[at[where] - first]
+        return out
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Where each x stands; -1 if it doesn't: successor search among the entries that share its high part."""
-        self._open()
-        top, out = x >> 8 * self.width, np.full(len(x), -1, dtype=np.int64)
-        ask = np.flatnonzero((x >= 0) & (top < len(self.starts) - 1))
-        low = (x[ask] & (1 << 8 * self.width) - 1).astype(self._low.dtype)
-        a, end = self.starts[top[ask]], self.starts[top[ask] + 1]
-        b, live = end.copy(), np.flatnonzero(a < end)
-        while len(live):
-            mid = (a[live] + b[live]) >> 1
-            less = self._low[mid] < low[live]
-            a[live[less]], b[live[~less]] = mid[less] + 1, mid[~less]
-            live = live[a[live] < b[live]]
-        hit = a < end
-        hit[hit] = self._low[a[hit]] == low[hit]
-        out[ask[hit]] = a[hit]
+        """Where each of ascending numbers stands, -1 if it doesn't."""
+        out, step = np.full(len(x), -1, dtype=np.int64), np.searchsorted(self.samples, x, side="right") - 1
+        below = int(np.searchsorted(step, 0))  # before the first entry
+        for where, first, entries in self._steps(step[below:]):
+            ask = x[below:][where]
+            place = np.searchsorted(entries, ask)
+            hit = place < len(entries)
+            hit[hit] = entries[place[hit]] == ask[hit]
+            out[below:][where][hit] = first + place[hit]
         return out
 
     def pack(self) -> bytes:
@@ -123,6 +140,19 @@ class Monotone:
         return cls(np.frombuffer(data[24:a], np.uint8), np.frombuffer(data[a:b], np.uint8), n, width), data[b:]
 
 
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes that hold the largest, pressed, after their length and width."""
+    width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)
+    small = zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{width}").tobytes())
+    return (len(small) << 4 | width).to_bytes(8, "little") + small
+
+
+def unpacked_numbers(data: memoryview) -> tuple[np.ndarray, memoryview]:
+    head = int.from_bytes(data[:8], "little")
+    size = head >> 4
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]), dtype=f"<u{head & 15}").astype(np.int64), data[8 + size :]
+
+
 # --- blocks of texts --------------------------------------------------------
 
 
@@ -158,8 +188,30 @@ def packed_blocks(docs: DataFrame, holdout: int) -> DataFrame:
     return chosen.mapInArrow(run, "block long, ids binary, none binary, train binary, sizes binary, data binary, words long")
 
 
+def numbered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys (of so many bits), each key's number among them, and the place of one of each."""
+    place = max(1, (len(key) - 1).bit_length())
+    if bits + place <= 64:  # sorted together with the places, which is much faster
+        both = np.sort(key.astype(np.uint64) << np.uint64(place) | np.arange(len(key), dtype=np.uint64))
+        ranked, order = both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key)
+        ranked = key[order].astype(np.uint64)
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    own = np.empty(len(key), dtype=np.int64)
+    own[order] = np.cumsum(new) - 1
+    return ranked[new], own, order[new]
+
+
 class Block:
-    """Tokens of a block's texts: local word numbers, ends, and distinct n-grams of each order by hash."""
+    """Tokens of a block's texts as word numbers from 1 (0: an end), and the distinct n-grams of each order.
+
+    The n-grams of two and three words are numbered in the order of their words: ``grams``
+    has, for each, the number of all but its last word (a word or a pair), its last
+    word, and the number of all but its first.  ``own`` numbers the n-gram that ends at
+    each token (-1 where the text is too short).
+    """
 
     def __init__(self, row: dict, bits: int):
         data = zstandard.ZstdDecompressor().decompress(row["data"])
@@ -167,44 +219,42 @@ class Block:
         ends = np.cumsum(sizes).tolist()
         self.ids = [None if none else i for i, none in zip(np.frombuffer(row["ids"], dtype="<i8").tolist(), row["none"], strict=True)]
         train = np.frombuffer(row["train"], np.uint8)
-        number: dict[bytes, int] = {}
+        number: dict[bytes, int] = defaultdict(count(1).__next__)
         flat: list[int] = []
         first, at = [], 0
         for end in ends:
             first.append(len(flat))
-            flat += [number.setdefault(w, len(number) + 1) for w in data[at:end].lower().split()]
+            flat += map(number.__getitem__, data[at:end].lower().split())
             flat.append(0)
             at = end
-        digest = xxhash.xxh64_intdigest
-        self.hash = np.concatenate([[END], np.fromiter(map(digest, number), dtype=np.uint64, count=len(number))]).astype(np.uint64)
-        self.token = np.array(flat, dtype=np.int64)
-        self.first = np.array(first, dtype=np.int64)
-        length = np.diff(np.append(self.first, len(flat)))
-        self.train = np.repeat(train, length)
-        self.place = np.arange(len(flat)) - np.repeat(self.first, length)
-        own = self.hash[self.token]
-        self.orders = []
-        run = own
-        for n in range(1, ORDER + 1):
-            if n > 1:
-                run = mixed(run[:-1], own[n - 1 :])
-            here = np.flatnonzero(self.place >= n - 1)  # the last word of each n-gram
-            keys = run[here - (n - 1)]
-            keys = keys if n == 1 else keys >> np.uint64(64 - bits)
-            self.orders.append((here, keys))
-
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, their training counts here, one position of each, and each n-gram's number."""
-        here, keys = self.orders[n - 1]
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        new = np.ones(len(ranked), dtype=bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        at = np.flatnonzero(new)
-        counts = np.add.reduceat(self.train[here[order]].astype(np.int64), at) if len(at) else np.zeros(0, dtype=np.int64)
-        back = np.empty(len(keys), dtype=np.int64)
-        back[order] = np.cumsum(new) - 1
-        return ranked[at], counts, here[order[at]], back
+        words = np.concatenate([[END], np.fromiter(map(xxhash.xxh64_intdigest, number), dtype=np.uint64, count=len(number))]).astype(np.uint64)
+        self.token, self.first = np.array(flat, dtype=np.int32), np.array(first, dtype=np.int64)
+        self.length = np.diff(np.append(self.first, len(flat)))
+        self.train = np.repeat(train, self.length) > 0
+        self.place = (np.arange(len(flat)) - np.repeat(self.first, self.length)).astype(np.int32)
+        self.size, self.own, self.grams = len(words), [self.token], []
+        full, self.hash = words, [words]
+        for n in range(2, ORDER + 1):
+            here = np.flatnonzero(self.place >= n - 1)
+            before = self.own[-1][here - 1].astype(np.int64)
+            key, own, at = numbered(before * self.size + self.token[here], (max(1, len(full)) * self.size).bit_length())
+            context, last = np.divmod(key.astype(np.int64), self.size)
+            self.grams.append((context, last, self.own[-1][here[at]]))
+            self.own.append(np.full(len(flat), -1, dtype=np.int32))
+            self.own[-1][here] = own
+            full = mixed(full[context], words[last])
+            self.hash.append(full >> np.uint64(64 - bits))
+        self.bits = [64] + [bits] * (ORDER - 1)
+
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the n-grams, and each n-gram's place among them."""
+        keys, own, _ = numbered(self.hash[n - 1], self.bits[n - 1])
+        return keys, own
+
+    def counts(self, n: int) -> np.ndarray:
+        """How often each n-gram occurs in the training texts of the block."""
+        own = self.own[n - 1]
+        return np.bincount(own[self.train & (own >= 0)], minlength=len(self.hash[n - 1]))
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,37 +272,30 @@ def requests(blocks: DataFrame, shards: int, bits: int) -> DataFrame:
     """(block, shard, data): each block's distinct n-grams and training counts in that part of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, bits)
-                out = [bytearray() for _ in range(shards)]
+                out, some = [bytearray() for _ in range(shards)], np.zeros(shards, dtype=bool)
                 for n in range(1, ORDER + 1):
-                    keys, counts, _, _ = block.distinct(n)
-                    starts = [_range(n, s, shards, bits) for s in range(shards)]
-                    cuts = [*np.searchsorted(keys, np.array(starts, dtype=np.uint64)).tolist(), len(keys)]
+                    keys, own = block.distinct(n)
+                    counts = np.bincount(own, block.counts(n), minlength=len(keys)).astype(np.int64)
+                    starts = [_range(n, s, shards, bits) for s in range(shards + 1)]
+                    cuts = np.append(np.searchsorted(keys, np.array(starts[:-1], dtype=np.uint64)), len(keys)).tolist()
+                    some |= np.diff(cuts) > 0
                     for s in range(shards):
                         a, b = cuts[s], cuts[s + 1]
-                        end = _range(n, s + 1, shards, bits)
-                        out[s] += Monotone.of(keys[a:b] - np.uint64(starts[s]), end - starts[s]).pack()
-                        small = press.compress(counts[a:b].astype("<u4").tobytes())
-                        out[s] += len(small).to_bytes(8, "little") + small
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * shards), pa.array(range(shards), pa.int32()), pa.array(map(bytes, out), pa.binary())], names=["block", "shard", "data"])
+                        out[s] += Monotone.of(keys[a:b] - np.uint64(starts[s]), starts[s + 1] - starts[s]).pack() + packed_numbers(counts[a:b])
+                kept = np.flatnonzero(some).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(kept)), pa.array(kept, pa.int32()), pa.array([bytes(out[s]) for s in kept], pa.binary())], names=["block", "shard", "data"])
 
     return blocks.mapInArrow(run, "block long, shard int, data binary")
 
 
-def _numbers(data: memoryview) -> tuple[np.ndarray, memoryview]:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]), dtype="<u4"), data[8 + size :]
-
-
 def totals(asked: DataFrame) -> DataFrame:
     """(block, shard, data, words, tokens): the corpus counts of what each block asked for; a shard's distinct
     training words and tokens stand in its first row."""
 
     def run(group: pa.Table) -> pa.Table:
-        press = zstandard.ZstdCompressor(level=1)
         blocks = group.column("block").to_pylist()
         rest = [memoryview(x) for x in group.column("data").to_pylist()]
         out = [bytearray() for _ in blocks]
@@ -261,24 +304,18 @@ def totals(asked: DataFrame) -> DataFrame:
             keys, counts = [], []
             for i, data in enumerate(rest):
                 m, data = Monotone.unpack(data)
-                c, rest[i] = _numbers(data)
+                c, rest[i] = unpacked_numbers(data)
                 keys.append(m.values())
                 counts.append(c)
             size = list(map(len, keys))
-            flat, own = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-            order = np.argsort(flat, kind="stable")
-            ranked = flat[order]
-            new = np.ones(len(flat), dtype=bool)
-            new[1:] = ranked[1:] != ranked[:-1]
-            at = np.flatnonzero(new)
-            sums = np.add.reduceat(own[order], at) if len(at) else own
+            flat, counts = np.concatenate(keys), np.concatenate(counts)
+            _, own, _ = numbered(flat, 64)
+            sums = np.zeros(int(own.max(initial=-1)) + 1, dtype=np.int64)
+            np.add.at(sums, own, counts)
             if n == 1:
                 words, tokens = int((sums > 0).sum()), int(sums.sum())
-            reply = np.empty(len(flat), dtype="<u4")
-            reply[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(new) - 1]
-            for i, part in enumerate(np.split(reply, np.cumsum(size)[:-1])):
-                small = press.compress(part.tobytes())
-                out[i] += len(small).to_bytes(8, "little") + small
+            for i, part in enumerate(np.split(sums[own], np.cumsum(size)[:-1])):
+                out[i] += packed_numbers(part)
         k = len(blocks)
         return pa.table({
             "block": pa.array(blocks, pa.int64()), "shard": group.column("shard"), "data": pa.array(map(bytes, out), pa.binary()),
@@ -306,32 +343,23 @@ class Quantised:
 class Trie:
     """Words 0..V-1 below the root; successors of words; successors of pairs.
 
-    ``one``: counts of the words.  ``two`` and ``three``: for the seen n-grams, arrays
-    of word numbers and then of counts.
+    ``one``: counts of the words.  ``two``: first word, second word and count of the
+    seen pairs, sorted.  ``three``: first pair, second pair (as places in ``two``) and
+    count of the seen triples, sorted.
     """
 
     def __init__(self, one: np.ndarray, two: tuple, three: tuple, words: int, tokens: int):
         V = self.size = len(one)
         p1 = (one + 0.5) / (tokens + 0.5 * (words + 1))
         a, b, c2 = two
-        keys2 = a * V + b
-        order = np.argsort(keys2)
-        a, b, c2, keys2 = a[order], b[order], c2[order], keys2[order]
-        self.level2 = Monotone.of(keys2, max(1, V * V))
         pointers = np.searchsorted(a, np.arange(V + 1))
-        self.pointers2 = Monotone.of(pointers, len(a) + 1)
+        self.level2, self.pointers2 = Monotone.of(a * V + b, max(1, V * V)), Monotone.of(pointers, len(a) + 1)
         p2 = (c2 + WEIGHT[2] * p1[b]) / (one[a] + WEIGHT[2])
-        x, y, z, c3 = three
-        node, suffix = self.level2.find(x * V + y), self.level2.find(y * V + z)
-        good = (node >= 0) & (suffix >= 0)
-        node, suffix, y, c3 = node[good], suffix[good], y[good], c3[good]
-        fan = pointers[b + 1] - pointers[b] if len(b) else np.zeros(0, dtype=np.int64)
+        node, suffix, c3 = three
+        fan = pointers[b + 1] - pointers[b]
         offsets = np.concatenate([[0], np.cumsum(fan)])
         self.offsets3 = Monotone.of(offsets, int(offsets[-1]) + 1)
-        keys3 = offsets[node] + suffix - pointers[y]
-        order = np.argsort(keys3)
-        keys3, node, suffix, c3 = keys3[order], node[order], suffix[order], c3[order]
-        self.level3 = Monotone.of(keys3, int(offsets[-1]) + 1)
+        self.level3 = Monotone.of(offsets[node] + suffix - pointers[a[suffix]], int(offsets[-1]) + 1)
         p3 = (c3 + WEIGHT[3] * p2[suffix]) / (c2[node] + WEIGHT[3])
         self.p1, self.p2, self.p3 = Quantised(np.log10(p1)), Quantised(np.log10(p2)), Quantised(np.log10(p3))
         self.back2, self.back3 = Quantised(np.log10(WEIGHT[2] / (one + WEIGHT[2]))), Quantised(np.log10(WEIGHT[3] / (c2 + WEIGHT[3])))
@@ -346,49 +374,47 @@ class Trie:
         for (owner, name), x, at in zip(parts, arrays, starts, strict=False):
             area[at : at + x.nbytes] = x.tobytes()
             setattr(owner, name, np.frombuffer(area, dtype=x.dtype, count=x.size, offset=at))
-        for m in (self.level2, self.pointers2, self.offsets3, self.level3):
-            m.starts = None
         return self
 
-    def log10(self, token: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 P of each token in its context; ``place`` counts from 0 in its text."""
-        V, before = self.size, np.concatenate([[0], token[:-1]])
-        pair = self.level2.find(np.where(place >= 1, before * V + token, -1))
-        score = self.p1[token] + np.where(place >= 1, self.back2[before], 0.0)
-        seen = np.flatnonzero(pair >= 0)
-        score[seen] = self.p2[pair[seen]]
-        context = np.where(place >= 2, np.concatenate([[-1], pair[:-1]]), -1)
+    def log10(self, pairs: tuple, triples: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of the last word after the one before, for sorted pairs of words; and after the two before, for
+        triples given as first pair, last word and second pair (places in ``pairs``), sorted."""
+        a, b = pairs[:2]
+        node = self.level2.find(a * self.size + b)
+        seen = node >= 0
+        two = self.p1[b] + self.back2[a]
+        two[seen] = self.p2[node[seen]]
+        relative = node - self.pointers2[a]
+        first, _, second = triples
+        context = node[first]
+        three = two[second]
         known = np.flatnonzero(context >= 0)
-        score[known] += self.back3[context[known]]
-        both = known[pair[known] >= 0]
-        relative = pair[both] - self.pointers2[before[both]]
-        found = self.level3.find(self.offsets3[context[both]] + relative)
+        three[known] += self.back3[context[known]]
+        both = known[seen[second[known]]]
+        found = self.level3.find(self.offsets3[context[both]] + relative[second[both]])
         hit = found >= 0
-        score[both[hit]] = self.p3[found[hit]]
-        return score
+        three[both[hit]] = self.p3[found[hit]]
+        return two, three
 
 
 def scored(block: Block, counts: list[np.ndarray], words: int, tokens: int) -> list[list]:
     """Columns of the result for a block; ``counts`` are the corpus counts of its distinct n-grams, by order."""
-    parts = [block.distinct(n) for n in range(1, ORDER + 1)]
-    c1 = counts[0].astype(np.int64)
-    number = np.empty(len(block.hash), dtype=np.int64)
-    number[block.token] = parts[0][3]
-    token, place = number[block.token], block.place
+    c1, c2, c3 = (counts[n - 1][block.distinct(n)[1]] for n in range(1, ORDER + 1))
+    token, place = block.token, block.place
     unigram = np.log10((c1 + 0.5) / (tokens + 0.5 * (words + 1)))
-    seen = []
-    for n in (2, 3):
-        c = counts[n - 1].astype(np.int64)
-        use = c > 0
-        last = parts[n - 1][2][use]
-        seen.append((*[token[last - k] for k in range(n - 1, -1, -1)], c[use]))
-    trie = Trie(c1, *seen, words, tokens).mapped()
-    score = np.add.reduceat(trie.log10(token, place), block.first)
-    known = np.add.reduceat((c1[token] > 0).astype(np.int64), block.first)
-    base = np.add.reduceat(unigram[token], block.first)
-    length = np.diff(np.append(block.first, len(token)))
-    held = block.train[block.first] == 0
-    return [block.ids, held.tolist(), length.tolist(), known.tolist(), [tokens] * len(held), base.tolist(), score.tolist()]
+    (a, b, _), (first, _, second) = pairs, triples = block.grams
+    use = c2 > 0
+    number = np.cumsum(use) - 1
+    good = (c3 > 0) & use[first] & use[second]
+    trie = Trie(c1, (a[use], b[use], c2[use]), (number[first[good]], number[second[good]], c3[good]), words, tokens).mapped()
+    two, three = trie.log10(pairs, triples)
+    each = trie.p1[token]
+    for n, part in ((2, two), (3, three)):
+        at = np.flatnonzero(place == 1 if n == 2 else place >= 2)
+        each[at] = part[block.own[n - 1][at]]
+    total = lambda x: np.add.reduceat(x, block.first).tolist()
+    held = (~block.train[block.first]).tolist()
+    return [block.ids, held, block.length.tolist(), total((c1[token] > 0).astype(np.int64)), [tokens] * len(held), total(unigram[token]), total(each)]
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -404,6 +430,7 @@ def score_documents(docs: DataFrame, holdout: int = 1) -> DataFrame:
     bits = min(64, max(24, math.ceil(math.log2(ORDER * size + 2)) + FALSE_MATCH_BITS))
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), ORDER * size // SHARD_NGRAMS)
     replies = written(totals(requests(blocks, shards, bits)), "lm-totals")
+    release(spark)  # the requests are on disk until then
     stats = replies.agg(F.sum("words"), F.sum("tokens")).head()
     words, tokens = stats[0] or 0, stats[1] or 0
 
@@ -415,7 +442,7 @@ def score_documents(docs: DataFrame, holdout: int = 1) -> DataFrame:
             for _ in range(ORDER):
                 parts = []
                 for i, x in enumerate(data):
-                    got, data[i] = _numbers(x)
+                    got, data[i] = unpacked_numbers(x)
                     parts.append(got)
                 counts.append(np.concatenate(parts))
             for col, new in zip(made, scored(Block(row, bits), counts, words, tokens), strict=True):
