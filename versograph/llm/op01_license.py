@@ -2,26 +2,31 @@
 
 A notice with a budget of k edits is split into k + 1 pieces; whatever k edits do,
 one piece is left whole (pigeonhole).  One automaton finds the pieces of all
-notices exactly; each hit names a window of the text in which the regex library's
-bounded-error matching then verifies the notice and gives the span with the
-fewest edits.
+notices exactly; each hit names a window of the text, barely longer than the notice,
+in which the regex library's bounded-error matching then verifies the notice and gives
+the span with the fewest edits.  Spans of a notice are taken best first; where a
+window's best span meets one that is taken, the rest of the window is searched again.
+So the spans are those of searching the whole text for the best match, then what lies
+before and after it, and so on; but the work is linear in the number of hits.
 
 The search runs on the text's words (letters of A-Z lowered, digits, and all
 characters beyond ASCII) joined by single spaces, so punctuation and line breaks
 don't count as edits.  Base phrases are exact runs of words.
 
 Results: null texts count as empty; texts without a word give zeros and nulls;
-overlapping fuzzy hits of one label are reported once, the best first.
+overlapping spans of one label are reported once, that with the fewest edits first.
 """
 
 from __future__ import annotations
 
 import functools
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from heapq import heappop, heappush
 
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from versograph.llm.common import map_texts, table
 
@@ -41,6 +46,24 @@ NOTICES = (
     ("licensed under cc by sa 4 0", "cc-by-sa", 2),
     ("creative commons attribution", "cc", 2),
     ("all rights reserved", "proprietary", 1),
+    ("the above copyright notice and this permission notice shall be included in all copies", "mit", 8),
+    ("unless required by applicable law or agreed to in writing software distributed under the license", "apache", 9),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd", 7),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 7),
+    ("this software is provided as is without any express or implied warranty", "zlib", 7),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 7),
+    ("provided as is without warranty of any kind express or implied", "as-is", 6),
+    ("cc0 1 0 universal", "cc0", 1),
+    ("eclipse public license", "epl", 2),
+    ("boost software license", "bsl", 2),
+    ("common development and distribution license", "cddl", 4),
+    ("european union public licence", "eupl", 2),
+    ("sil open font license", "ofl", 2),
+    ("open data commons open database license", "odbl", 3),
+    ("microsoft public license", "ms-pl", 2),
+    ("python software foundation license", "psf", 3),
+    ("academic free license", "afl", 2),
+    ("artistic license 2 0", "artistic", 1),
 )
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123))
 WORDS_ONLY = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
@@ -53,6 +76,16 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def meeting(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """Those of some sorted spans without overlaps that overlap start..end."""
+    i = bisect_right(taken, (start, start))
+    i -= i > 0 and taken[i - 1][1] > start
+    j = i
+    while j < len(taken) and taken[j][0] < end:
+        j += 1
+    return taken[i:j]
+
+
 class Scanner:
     def __init__(self, notices: tuple = NOTICES):
         self.notices = [(text, label, k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")) for text, label, k in notices]
@@ -65,32 +98,61 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
-    def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, edits, notice length) over normalised text; best and earliest first per label, without overlaps."""
-        windows: dict[int, list[list[int]]] = {}
+    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """For each notice, the parts of a text in which it can stand: at most 2 edits wider than the notice to either side."""
+        starts: dict[int, set[int]] = {}
         for last, (length, where) in self.automaton.iter(text):
             for i, offset in where:
-                notice, _, k, _ = self.notices[i]
-                start = last - length + 1 - offset
-                a, b = max(0, start - k), min(len(text), start + len(notice) + k)
-                own = windows.setdefault(i, [])
-                if own and a <= own[-1][1] and a >= own[-1][0]:
-                    own[-1][1] = max(own[-1][1], b)
+                starts.setdefault(i, set()).add(last - length + 1 - offset)
+        out = {}
+        for i, own in starts.items():
+            notice, _, k, _ = self.notices[i]
+            first = None
+            parts = out[i] = []
+            for start in sorted(own):
+                if first is None or start > first + 2 * k:
+                    first = start
+                    parts.append((max(0, start - k), min(len(text), start + len(notice) + k)))
                 else:
-                    own.append([a, b])
+                    parts[-1] = (parts[-1][0], min(len(text), start + len(notice) + k))
+        return out
+
+    def spans(self, text: str, i: int, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of notice i: best and earliest first, without overlaps."""
+        notice, _, k, pattern = self.notices[i]
+
+        def best(a: int, b: int) -> None:
+            if b - a >= len(notice) - k and (m := pattern.search(text, a, b)):
+                heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        waiting: list[tuple] = []
+        for w in windows:
+            best(*w)
+        taken: list[tuple[int, int]] = []  # sorted
+        found = []
+        while waiting:
+            edits, start, end, a, b = heappop(waiting)
+            if not meeting(taken, start, end):
+                insort(taken, (start, end))
+                found.append((edits, start, end))
+            for x, y in meeting(taken, a, b):
+                best(a, min(b, x))
+                a = max(a, y)
+            best(a, b)
+        return found
+
+    def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
+        """(start, end, label, edits, notice length) over normalised text; best and earliest first per label, without overlaps."""
         found = []
-        for i, own in windows.items():
-            notice, label, k, pattern = self.notices[i]
-            for a, b in own:
-                open_parts = [(a, b)]
-                while open_parts:
-                    start, end = open_parts.pop()
-                    if end - start >= len(notice) - k and (m := pattern.search(text, start, end)):
-                        found.append((sum(m.fuzzy_counts), m.start(), m.end(), label, len(notice)))
-                        open_parts += [(start, m.start()), (m.end(), end)]  # worse matches stand before the best too
+        for i, own in self.windows(text).items():
+            notice, label = self.notices[i][:2]
+            found += [(*x, label, len(notice)) for x in self.spans(text, i, own)]
         kept: list[tuple[int, int, str, int, int]] = []
+        taken: dict[str, list[tuple[int, int]]] = {}
         for edits, start, end, label, n in sorted(found):
-            if not any(label == x[2] and start < x[1] and x[0] < end for x in kept):
+            own = taken.setdefault(label, [])
+            if not meeting(own, start, end):
+                insort(own, (start, end))
                 kept.append((start, end, label, edits, n))
         return sorted(kept)
 
@@ -148,4 +210,6 @@ def scan_documents(docs: DataFrame, notices: tuple = NOTICES) -> DataFrame:
 
 
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_documents(table(spark, sf_dir, "documents")).drop("hits")
+    made = scan_documents(table(spark, sf_dir, "documents"))
+    shown = F.transform("hits", lambda h: F.concat_ws(":", h["label"], h["start"].cast("string"), h["end"].cast("string"), h["edits"].cast("string")))
+    return made.withColumn("hits", F.concat_ws(",", shown))
