@@ -5,7 +5,9 @@ the logistic of w0 + Σ w_i x_i + Σ_{i<j} <v_i, v_j> x_i x_j, where the sum ove
 pairs comes in linear time as ½ Σ_f [(Σ_i v_if x_i)² − Σ_i v_if² x_i²].
 
 Training reads at most ``MAX_TRAIN`` labelled rows (those with the smallest hashes
-of their ids), as a documented bound; features are computed on the executors.
+of their ids), and of these as many as have ``TRAIN_BYTES`` of features, as a documented
+bound; features are computed on the executors.  An id that ``documents`` repeats counts
+once for each of its labels, with the smallest features of its texts.
 Scoring reads every whole text.  Labels, language, source and doc_id never enter a
 feature; the metadata features are how far n_chars is from the text's own length in
 code points (the logarithm of their ratio, without sign), and whether it is missing.
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from versograph.llm.common import held_out, map_texts, table
+from versograph.llm.common import bounded_features, held_out, map_texts, table, training_sample
 
 HASHED, STRUCTURE, RANK = 1 << 15, 16, 8
 SIZE = HASHED + STRUCTURE
 MAX_TRAIN, EPOCHS, BATCH, RATE, DECAY, SEED = 12_000, 6, 64, 0.05, 1e-4, 7
+TRAIN_BYTES = 192 << 20
 THRESHOLD = 0.3
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS, _MARKS = b"#*$%&|<>", b".,!?;:"
@@ -72,6 +75,23 @@ class Machine:
     def score(self, text: bytes, n_chars: int | None = None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text, n_chars)), -30, 30))))
 
+    def gradient(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the mean logistic loss: by w0, the features concerned, and by their w and v."""
+        index = np.concatenate([i for i, _ in rows])
+        value = np.concatenate([v for _, v in rows])
+        size = np.array([len(i) for i, _ in rows])
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        vx = self.v[index] * value[:, None]
+        sums = np.add.reduceat(vx, starts)
+        margin = self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * (np.square(sums).sum(1) - np.add.reduceat(np.square(vx).sum(1), starts))
+        wrong = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) / len(rows)
+        each = np.repeat(wrong, size)
+        dv = each[:, None] * value[:, None] * (np.repeat(sums, size, axis=0) - vx)
+        unique, back = np.unique(index, return_inverse=True)
+        sv = np.zeros((len(unique), RANK))
+        np.add.at(sv, back, dv)
+        return float(wrong.sum()), unique, np.bincount(back, each * value), sv
+
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
         """Mini-batches with per-coordinate rates (AdaGrad); the order is fixed by ``SEED``."""
         rng = np.random.default_rng(SEED)
@@ -80,45 +100,26 @@ class Machine:
             order = rng.permutation(len(rows))
             for at in range(0, len(rows), BATCH):
                 part = order[at : at + BATCH]
-                index = np.concatenate([rows[i][0] for i in part])
-                value = np.concatenate([rows[i][1] for i in part])
-                size = np.array([len(rows[i][0]) for i in part])
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                vx = self.v[index] * value[:, None]
-                sums = np.add.reduceat(vx, starts)
-                margin = self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * (np.square(sums).sum(1) - np.add.reduceat(np.square(vx).sum(1), starts))
-                wrong = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]) / len(part)
-                each = np.repeat(wrong, size)
-                dv = each[:, None] * value[:, None] * (np.repeat(sums, size, axis=0) - vx)
-                unique, back = np.unique(index, return_inverse=True)
-                sw, sv = np.bincount(back, each * value), np.zeros((len(unique), RANK))
-                np.add.at(sv, back, dv)
+                s0, unique, sw, sv = self.gradient([rows[i] for i in part], labels[part])
                 sw += DECAY * self.w[unique]
                 sv += DECAY * self.v[unique]
                 gw[unique] += sw * sw
                 gv[unique] += sv * sv
                 self.w[unique] -= RATE * sw / np.sqrt(gw[unique])
                 self.v[unique] -= RATE * sv / np.sqrt(gv[unique])
-                g0 += wrong.sum() ** 2
-                self.w0 -= RATE * wrong.sum() / np.sqrt(g0)
+                g0 += s0**2
+                self.w0 -= RATE * s0 / np.sqrt(g0)
         return self
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, column: str, holdout: int, limit: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text, n_chars, label of at most ``limit`` labelled rows outside the held-out fold."""
-    chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("__y"))
-    chosen = chosen.where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(holdout)).orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(limit)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "n_chars").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
-
-
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", holdout: int = 0, limit: int = MAX_TRAIN) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", holdout: int = 0, limit: int = MAX_TRAIN, size: int = TRAIN_BYTES) -> Machine:
     def run(texts: list[bytes], n_chars: list[int | None]) -> list:
         made = [features(t, n) for t, n in zip(texts, n_chars, strict=True)]
         return [[i.astype(np.int32).tobytes() for i, _ in made], [v.astype(np.float32).tobytes() for _, v in made]]
 
-    chosen = training_rows(docs, labels, column, holdout, limit)
-    rows = map_texts(chosen, run, "__i binary, __v binary", carry=("doc_id", "__y"), also=("n_chars",)).collect()
-    rows.sort(key=lambda r: (r.doc_id, r["__y"], r["__i"]))
+    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("__y"))
+    chosen = training_sample(docs, marked.where(F.col("__y").isin(0, 1) & ~held_out(holdout)), limit)
+    rows = bounded_features(map_texts(chosen, run, "__i binary, __v binary", carry=("doc_id", "__y"), also=("n_chars",)), ["__i", "__v"], size, "quality-train")
     if not rows:
         return Machine(v=np.zeros((SIZE, RANK)))
     x = [(np.frombuffer(r["__i"], np.int32).astype(np.int64), np.frombuffer(r["__v"], np.float32).astype(np.float64)) for r in rows]

@@ -10,9 +10,11 @@ texts.
 The labels give toxic and quality; the chain is ``abusive_spam`` (toxic and of low
 quality), ``abusive_prose`` (toxic and of good quality) and then ``toxic``.
 
-Training reads at most ``MAX_TRAIN`` labelled rows, as a documented bound, with
-features computed on the executors; every text is scored.  Features are 32-bit
-hashes; those kept occur in enough distinct positive texts and seldom in others.
+Training reads at most ``MAX_TRAIN`` labelled rows, and of these as many as have
+``TRAIN_BYTES`` of features, as a documented bound, with features computed on the
+executors; every text is scored.  Features are 32-bit hashes; those kept occur in
+enough distinct positive texts and seldom in others.  An id that ``documents`` repeats
+counts once for each of its labels, with the smallest features of its texts.
 
 Results: null and empty texts have no feature and get the prior; null labels are
 not learned from; a category without positive rows has its prior, near 0.
@@ -26,10 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versograph.llm.common import map_texts, table
+from versograph.llm.common import bounded_features, map_texts, table, training_sample
 
 CATEGORIES = ("abusive_spam", "abusive_prose", "toxic")
 MAX_TRAIN, FOLDS, STEPS, RATE, DECAY = 12_000, 5, 300, 0.3, 1e-3
+TRAIN_BYTES = 192 << 20
 STEMS = (4, 5, 6)
 #: A feature is kept that occurs in so many positive rows (and this share of them), mostly there, up to MAX_FEATURES.
 LEAST_ROWS, LEAST_SHARE, LEAST_PRECISION, MAX_FEATURES = 4, 0.004, 0.5, 4000
@@ -130,16 +133,14 @@ class Chain:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, size: int = TRAIN_BYTES) -> Chain:
     def run(texts: list[bytes]) -> list:
         return [[np.fromiter(sorted(features(t)), dtype=np.uint32).tobytes() for t in texts]]
 
-    ids = F.col("doc_id").cast("bigint")
-    chosen = labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("__y"), F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("__q"))
-    chosen = chosen.where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "__y", "__q").limit(limit)
-    texts = docs.select(ids.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
-    got = map_texts(texts, run, "__f binary", carry=("doc_id", "__y", "__q")).collect()
-    once = {(r["__f"], r["__y"], r["__q"]): r for r in sorted(got, key=lambda r: (r.doc_id, r["__y"], r["__q"], r["__f"]), reverse=True)}  # copies count once
+    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("__y"), F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("__q"))
+    chosen = training_sample(docs, marked.where(F.col("__y").isin(0, 1)), limit)
+    got = bounded_features(map_texts(chosen, run, "__f binary", carry=("doc_id", "__y", "__q")), ["__f"], size, "toxicity-train")
+    once = {(r["__f"], r["__y"], r["__q"]): r for r in reversed(got)}  # copies count once
     got = sorted(once.values(), key=lambda r: (r.doc_id, r["__y"], r["__q"], r["__f"]))
     y = np.array([(r["__y"] and not r["__q"], r["__y"] and r["__q"] == 1, r["__y"]) for r in got], dtype=float).reshape(-1, len(CATEGORIES))
     return Chain.fit([np.frombuffer(r["__f"], np.uint32) for r in got], y, np.array([crc32(str(r.doc_id).encode()) % FOLDS for r in got]))
