@@ -1,3 +1,4 @@
+import math
 import random
 
 import public_tokenizers
@@ -41,3 +42,10 @@ def test_documents(spark):
         if all(w in counts for w in words):
             assert (r.doc_id, r.n_words, r.n_tokens) == (doc_id, len(words), sum(counts[w] for w in words))
     assert op.count_tokens(helpers.table(spark, []), path).count() == 0
+
+
+def test_zipf_scores_are_log_probabilities():
+    v = op.zipf(["a", "b", "cd"])
+    assert sum(math.exp(s) for s in v.values()) == pytest.approx(1) and v["a"] - v["cd"] == pytest.approx(math.log(3))
+    whole = op.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sum(math.exp(s) for _, own in whole.by_length for s in own.values()) == pytest.approx(1)

@@ -9,6 +9,11 @@ pre-tokens with that prefix, a shared prefix is scored once.  A node where a
 pre-token ends stores its number of tokens; a text's count is the sum over its
 pre-tokens.
 
+The vocabulary file at hand is of a merge model, whose pieces are ordered but have no
+probabilities, and tokenizers are not trained here.  So the pieces' probabilities are
+those of Zipf's law, 1 / (r H) for the piece at rank r, with H the harmonic sum over the
+vocabulary.  A segmentation's score is then the logarithm of its unigram probability.
+
 A character in no piece costs the lowest score less ``PENALTY`` and stands as one
 token per UTF-8 byte.  Among equally good segmentations the one with fewer tokens
 counts.  Results: null and empty texts have no tokens; invalid UTF-8 is read as
@@ -18,6 +23,7 @@ U+FFFD; repeated rows are counted each.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,14 +89,20 @@ class Vocabulary:
         return out
 
 
+def zipf(pieces: list[str]) -> dict[str, float]:
+    """Log-probabilities of pieces, the likeliest first."""
+    whole = math.log(sum(1 / r for r in range(1, len(pieces) + 1))) if pieces else 0.0
+    return {p: -math.log(r) - whole for r, p in enumerate(pieces, 1)}
+
+
 @functools.lru_cache(2)
 def vocabulary(model_file: str) -> Vocabulary:
-    """The ordinary pieces of a SentencePiece model, with the scores that the file gives."""
+    """The ordinary pieces of a SentencePiece model, with log-probabilities by Zipf's law in the order of the file's scores."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ordinary = [i for i in range(m.get_piece_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_unused(i) or m.is_byte(i))]
-    return Vocabulary({m.id_to_piece(i): m.get_score(i) for i in ordinary})
+    return Vocabulary(zipf([m.id_to_piece(i) for i in sorted(ordinary, key=lambda i: (-m.get_score(i), i))]))
 
 
 def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
