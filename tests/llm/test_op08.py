@@ -4,6 +4,7 @@ import re
 import pytest
 
 from tests.llm import helpers
+from versograph.llm import common
 from versograph.llm import op08_secrets as op
 
 SECRETS = [
@@ -73,3 +74,13 @@ def test_spans_match_brute_force_and_masking(spark):
 def test_empty_table(spark):
     assert op.scan_documents(helpers.table(spark, [])).count() == 0
     assert op.redacted_documents(helpers.table(spark, [])).count() == 0
+
+
+def test_many_candidates_are_joined_without_a_broadcast(spark, monkeypatch):
+    df = helpers.table(spark, [*helpers.ODD, *SECRETS, *SECRETS[:2] * 9])
+    want = sorted(map(str, op.scan_documents(df).collect()))
+    monkeypatch.setattr(op, "BROADCAST_CANDIDATES", 0)
+    for sent in (50_000, 1):
+        monkeypatch.setattr(common, "SENT_KEYS", sent)
+        monkeypatch.setattr(common, "FEW_ROWS", 3)
+        assert sorted(map(str, op.scan_documents(df).collect())) == want

@@ -21,7 +21,8 @@ over two words or more put in; the rest, at least n / 2 - 1 - d / 2 >= n / 3 - 1
 hits of different seeds at different places.  This holds for the weights below.
 
 Test items are handed to the tasks in blocks of at most ``BLOCK_CHARS`` characters,
-each against all documents; texts are never shuffled.
+each against all documents; texts are never shuffled.  A longer item is a block of its
+own; with more than 1.3 million distinct words it is refused with an error.
 
 Results: null texts count as empty and hold nothing; items without words are in
 no document; each document and item appear once, with the best score (the leftmost
@@ -62,6 +63,8 @@ class Items:
         known = sorted(set(chain.from_iterable(w for _, w in rows)))
         self.number = {w: k + 1 for k, w in enumerate(known)}
         self.base = len(known) + 1
+        if self.base ** GRAM * (GRAM + 1) >= 1 << 63:  # only with an item that is itself larger than a block
+            raise ValueError(f"a block of test items has {len(known)} distinct words, too many for keys of {GRAM} words")
         self.words = [np.array([self.number[x] for x in w], dtype=np.int64) for _, w in rows]
         self.length = np.array(list(map(len, self.words)), dtype=np.int64)
         self.must = np.maximum(1, -(-self.length // 3) - 1)  # hits that a copy has at least

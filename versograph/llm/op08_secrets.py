@@ -27,7 +27,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versograph.llm.common import DOCUMENT_COLUMNS, table, written
+from versograph.llm.common import DOCUMENT_COLUMNS, joined, table, written
 
 
 @dataclass(frozen=True)
@@ -200,8 +200,11 @@ def with_spans(docs: DataFrame, columns: tuple[str, ...], rules: tuple[Rule, ...
     else:
         masks = written(masks, "secrets-candidates")
         if masks.count() <= BROADCAST_CANDIDATES:
-            masks = F.broadcast(masks)
-        rows = rows.join(masks, "__key", "left")
+            rows = rows.join(F.broadcast(masks), "__key", "left")
+        else:  # texts of which there are very many copies are told apart
+            keys = _with_key(docs).select("__key")
+            copies = keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+            rows = joined(rows, written(masks.join(copies, "__key"), "secrets-candidates"), ["__key"], keys.count(), "left")
     each = []
     for i, r in enumerate(rules):
         if trigram_query(r.pattern) == ANYTHING:
