@@ -27,6 +27,12 @@ def test_entry_works_without_the_text_operators(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_entry_names_a_module_that_the_text_operators_miss():
+    code = "import sys, warnings; sys.modules['ahocorasick'] = None; import __spark_entry__ as e\nwith warnings.catch_warnings(record=True) as w:\n    warnings.simplefilter('always'); q = e.queries()\nassert 'vm_all' in q and 'pipeline' not in q; assert any('ahocorasick' in str(x.message) for x in w) or not __import__('os').path.isdir('versograph/llm')"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_flagship_query(spark):
     if Path("/root/testdata/sf0.001").is_dir():
         assert __spark_entry__.entry(spark).columns == ["s", "p", "o"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versograph.operators.model import TRIPLE
@@ -99,3 +99,37 @@ def consecutive(presence: DataFrame, last: int) -> DataFrame:
     ratio = F.coalesce(d.cast("double") / (F.col("before") + d), F.lit(0.0))
     growth = F.when(F.col("before") > 0, (F.col("before") + F.col("n_added") - F.col("n_deleted")).cast("double") / F.col("before")).otherwise(0.0)
     return rows.select("version", ratio.alias("change_ratio"), growth.alias("growth_ratio"), "n_added", "n_deleted")
+
+
+def _appearances(moves: DataFrame, key: str, *more: str) -> DataFrame:
+    """``moves`` (a row per key and version, with d: triples won less triples lost) with came and went: whether the key's first triple comes or its last goes.
+
+    A key has as many rows as versions in which it changes, so a frequent term is no hot key.
+    """
+    after = F.sum("d").over(Window.partitionBy(key).orderBy("version"))
+    rows = moves.withColumn("after", after).withColumn("before", F.col("after") - F.col("d"))
+    return rows.select(key, "version", *more, ((F.col("before") == 0) & (F.col("after") > 0)).alias("came"), ((F.col("before") > 0) & (F.col("after") == 0)).alias("went"))
+
+
+def consecutive_table(log: DataFrame, presence: DataFrame, last: int) -> DataFrame:
+    """(version, change_ratio, dynamicity, growth_ratio, entity_changes, triple_to_entity_change, object_updates) of every version
+    against the one before.
+
+    The last two share a set: a changed triple whose subject comes or goes is counted by
+    the first only.  Everything comes from the log, in three aggregations over it.
+    """
+    n = lambda c: F.sum(c.cast("bigint"))
+    by_pair = log.groupBy("s", "p", "version").agg(n(F.col("op") == 1).alias("x"), n(F.col("op") == -1).alias("y"))
+    by_subject = by_pair.groupBy("s", "version").agg(F.sum(F.col("x") - F.col("y")).alias("d"), F.sum(F.col("x") + F.col("y")).alias("n"), F.sum(F.when(F.col("y") > 0, F.col("x")).otherwise(0)).alias("u"))
+    moved = F.col("came") | F.col("went")
+    subjects = _appearances(by_subject, "s", "n", "u").groupBy("version").agg(n(moved).alias("k"), F.sum(F.when(moved, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(~moved, F.col("u")).otherwise(0)).alias("u"))
+    terms = log.select("version", "op", F.explode(F.array(*TRIPLE)).alias("t")).groupBy("t", "version").agg(F.sum("op").alias("d"))
+    terms = _appearances(terms, "t").groupBy("version").agg(n(F.col("came")).alias("came"), n(F.col("went")).alias("went"))
+    terms = terms.withColumn("before", F.sum(F.col("came") - F.col("went")).over(Window.orderBy("version")) - F.col("came") + F.col("went"))  # a row per version
+    sizes = consecutive(presence, last)
+    rows = sizes.join(F.broadcast(subjects), "version", "left").join(F.broadcast(terms), "version", "left").na.fill(0)
+    either = F.col("before") + F.col("came")
+    return rows.select(
+        "version", "change_ratio", F.when(either > 0, (F.col("came") + F.col("went")).cast("double") / either).otherwise(0.0).alias("dynamicity"), "growth_ratio",
+        F.col("k").alias("entity_changes"), F.when(F.col("k") > 0, F.col("n").cast("double") / F.col("k")).otherwise(0.0).alias("triple_to_entity_change"), F.col("u").alias("object_updates"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versograph.functions import stats, terms
-from versograph.operators import chain, patch
+from versograph.operators import chain, lookup, patch
 from versograph.operators import query as q
 from versograph.operators.log import intervals, normalise
 from versograph.operators.model import OPEN, TRIPLE
@@ -153,11 +153,20 @@ def _lww(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("patch_dedup_lww", _lww, "SELECT s, p, o, op FROM (SELECT *, row_number() OVER (PARTITION BY s, p, o ORDER BY version DESC) AS rn FROM log) WHERE rn = 1")
-_add("patch_join", _log(lambda g: patch.join_patches(g.where("version = 5"), g.where("version = 6"))), """SELECT coalesce(a.s, b.s) AS s, coalesce(a.p, b.p) AS p, coalesce(a.o, b.o) AS o, coalesce(b.op, a.op) AS op, coalesce(a.op <> b.op, false) AS local
-  FROM (SELECT * FROM log WHERE version = 5) a FULL JOIN (SELECT * FROM log WHERE version = 6) b ON a.s = b.s AND a.p = b.p AND a.o = b.o""")
+_add("patch_join", _log(lambda g: patch.join_patches(g.where("version = 5"), g.where("version = 6"))), """SELECT s, p, o, coalesce(b, a) AS op, coalesce(a <> b, false) AS local
+  FROM (SELECT s, p, o, max(op) FILTER (version = 5) AS a, max(op) FILTER (version = 6) AS b FROM log WHERE version IN (5, 6) GROUP BY s, p, o)""")
 _add("patch_contains", _log(lambda g: patch.contains(g, 3, 5, g.select(*TRIPLE).distinct())), f"SELECT t.s, t.p, t.o, coalesce(d.op, 0) AS op FROM (SELECT DISTINCT s, p, o FROM log) t LEFT JOIN ({_signed(3, 5)}) d USING (s, p, o)")
-_add("patch_clashes", _log(lambda g: patch.clashes(g, 5, g.where("version = 6").select(*TRIPLE))), "SELECT s, p, o FROM log WHERE version = 6 AND (s, p, o) IN (SELECT (s, p, o) FROM log WHERE version = 5)")
-_add("patch_merged", _log(lambda g: g.where("version = 2 AND op = 1").select(*TRIPLE, "op").unionByName(g.where("version = 2 AND op = -1").select(*TRIPLE, "op"))), "SELECT s, p, o, op FROM log WHERE version = 2")
+_add("patch_clashes", _log(lambda g: patch.clashes(g, 5, g.where("version = 6").select(*TRIPLE))), "SELECT s, p, o FROM log WHERE version IN (5, 6) GROUP BY s, p, o HAVING count(DISTINCT version) = 2")
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """Both parts of a version in one order, with each element's place."""
+    g = orders_log(spark, d).where("version = 2")
+    both = g.where("op = 1").select(*TRIPLE, "op").unionByName(g.where("op = -1").select(*TRIPLE, "op"))
+    return patch.numbered(both, [*TRIPLE, "op"], {"place": 0})
+
+
+_add("patch_merged", _merged, "SELECT s, p, o, op, row_number() OVER (ORDER BY s, p, o, op) - 1 AS place FROM log WHERE version = 2")
 _add("deletion_count", _log(lambda g: patch.deletion_count(g, 3, 6, (None, P, None))), f"SELECT * FROM (SELECT count(*) OVER () AS n, s, p, o FROM ({_signed(3, 6)}) WHERE op = -1 AND p = '{P}') ORDER BY s DESC, p DESC, o DESC LIMIT 1")
 _add("addition_count", _log(lambda g: patch.addition_count(g, 3, 6, (None, P, None))), f"SELECT count(*) AS n FROM ({_signed(3, 6)}) WHERE op = 1 AND p = '{P}'")
 _positions = ", ".join(f"row_number() OVER ({'PARTITION BY ' + ', '.join(k) if k else ''} ORDER BY s, p, o) - 1 AS pos_{''.join(c if c in k else '_' for c in TRIPLE)}" for k in patch.SHAPES)
@@ -262,3 +271,76 @@ for name, run, sql in (
     ("sink_vq", lambda p: ntriples.show_versions(q.vq(p, LAST_ORDERS, (None, P, O))), f"SELECT s || ' ' || p || ' ' || o || '. :: [ ' || versions || ' ]' AS line FROM ({_lists(_match((None, P, O)))})"),
 ):
     _add(name, _presence(run), sql)
+
+
+# --- lookups, seeks, positions, routes and estimates
+
+_E = ("ex:order/100", P, "archived", 1)
+_K = "(s, p, o) >= ('ex:order/5', 'ex:placedBy', 'x')"
+_add("latest_versions", _log(lambda g: lookup.latest_versions(g, 4, (None, P, None))), f"SELECT s, p, o, coalesce(max(version) FILTER (op = 1), -1) AS added, coalesce(max(version) FILTER (op = -1), -1) AS deleted FROM log WHERE version <= 4 AND p = '{P}' GROUP BY s, p, o")
+_add("latest_versions_exact", _log(lambda g: lookup.latest_versions(g, 4, exact=True)), "SELECT s, p, o, coalesce(max(version) FILTER (op = 1), -1) AS added, coalesce(max(version) FILTER (op = -1), -1) AS deleted FROM log WHERE version = 4 GROUP BY s, p, o")
+_add("changes_up_to", _log(lambda g: lookup.changes(g, version=2, exact=False)), "SELECT version, s, p, o, op FROM log WHERE version <= 2")
+_add("changes_from_key", _log(lambda g: lookup.changes(g, ("ex:order/5", "ex:placedBy", "x"), version=3, limit=50)), f"SELECT version, s, p, o, op FROM log WHERE version = 3 AND {_K} ORDER BY s, p, o LIMIT 50")
+_add("changes_backwards", _log(lambda g: lookup.changes(g, ("ex:order/5", "ex:placedBy", "x"), version=3, reverse=True, limit=50)), f"SELECT version, s, p, o, op FROM log WHERE version = 3 AND {_K.replace('>', '<')} ORDER BY s DESC, p DESC, o DESC LIMIT 50")
+_add("first_deletion", _log(lambda g: lookup.first_deletion(g, 3, 6, (None, P, None))), f"SELECT s, p, o FROM ({_signed(3, 6)}) WHERE op = -1 AND p = '{P}' ORDER BY p, o, s LIMIT 1")
+_add("additions_from_offset", _log(lambda g: lookup.additions(g, 3, 6, (None, P, None), 40, 30)), f"SELECT s, p, o FROM ({_signed(3, 6)}) WHERE op = 1 AND p = '{P}' ORDER BY p, o, s LIMIT 30 OFFSET 40")
+_add("additions_of_all_versions", _log(lambda g: lookup.additions(g, 0, 0, (None, P, None))), f"SELECT DISTINCT s, p, o FROM log WHERE op = 1 AND p = '{P}'")
+_add("version_index", _presence(lambda p: lookup.version_index(p, 5)), f'SELECT s, p, o, CAST(sum(greatest(least(v_to, 5) - v_from, 0)) AS BIGINT) AS "index" FROM pres WHERE v_from <= 5 GROUP BY s, p, o HAVING max(CASE WHEN {_at(5)} THEN 1 ELSE 0 END) = 1')
+_v5 = "(SELECT s, p, o, op FROM log WHERE version = 5)"
+_e = "('" + "', '".join(_E[:3]) + "', 1)"
+for name, run, sql in (
+    ("position_of", lambda g: lookup.position_of(g, _E), f"SELECT count(*) AS position FROM {_v5} WHERE (s, p, o, op) < {_e}"),
+    ("position_of_strict", lambda g: lookup.position_of(g, ("ex:none", "x", "y", 1), strict=True), "SELECT CAST(-1 AS BIGINT) AS position"),
+    ("position_of_pattern", lambda g: lookup.position_of_pattern(g, _E, "pt"), f"SELECT count(*) - 1 AS position FROM {_v5} WHERE (s, p, o, op) <= {_e} AND p = '{P}' AND op = 1"),
+    ("index_of_triple", lambda g: lookup.index_of_triple(g, ("ex:none", "x", "y")), "SELECT CAST(-1 AS BIGINT) AS position"),
+    ("element_at", lambda g: lookup.element_at(g, 7), f"SELECT * FROM {_v5} ORDER BY s, p, o, op LIMIT 1 OFFSET 7"),
+    ("overwritten", lambda g: lookup.overwritten(g, 7, ("a", "b", "c", 1)), f"SELECT s, p, o, op FROM (SELECT *, row_number() OVER (ORDER BY s, p, o, op) AS n FROM {_v5}) WHERE n <> 8 UNION ALL SELECT 'a', 'b', 'c', 1"),
+):
+    _add("patch_" + name, _log(lambda g, run=run: run(g.where("version = 5").select(*TRIPLE, "op"))), sql)
+_add("dm_folded_chains", _log(lambda g: lookup.folded_delta(g, SNAPSHOTS, 0, 6)), _signed(0, 6))
+
+
+def _snapshot_route(i: int, j: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p = orders_presence(spark, d)
+        return lookup.snapshot_delta(orders_log(spark, d), {v: q.vm(p, v) for v in SNAPSHOTS}, i, j)
+
+    return run
+
+
+_add("dm_snapshot_route_near", _snapshot_route(0, 3), _delta(0, 3))
+_add("dm_snapshot_route_far", _snapshot_route(0, 6), _delta(0, 6))
+_add("vm_estimate", lambda spark, d: lookup.vm_estimate(orders_log(spark, d), q.vm(orders_presence(spark, d), 3), 3, 5, (None, P, None)), f"SELECT count(*) AS n, 'EXACT' AS kind FROM pres WHERE {_at(5)}{_match((None, P, None))}")
+_add("vq_estimate", _presence(lambda p: lookup.vq_estimate(p, SNAPSHOTS, (None, P, None))), " UNION ALL ".join(
+    [f"SELECT sum(n)::BIGINT AS n, 'UP_TO' AS kind FROM (SELECT count(*) AS n FROM pres WHERE {_at(0)}{_match((None, P, None))}"]
+    + [f"SELECT count(*) FROM pres WHERE {_at(v)}{_match((None, P, None))}" for v in SNAPSHOTS[1:]]
+    + [f"SELECT count(DISTINCT (s, p, o)) FROM pres WHERE v_from > {a} AND v_from < {b}{_match((None, P, None))}" for a, b in ((0, 3), (3, 6), (6, OPEN))]
+) + ")")
+
+
+def _by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """VM by a pattern of ids: encoded, filtered by the id of the predicate, decoded."""
+    rows = q.vm(orders_presence(spark, d), 5)
+    ids = terms.dictionary(rows)
+    number = ids.where(F.col("term") == P).select(F.col("term_id").alias("p"))
+    return terms.decode(terms.encode(rows, ids).join(F.broadcast(number), "p", "left_semi"), ids).select(*TRIPLE)
+
+
+_add("vm_by_ids", _by_ids, f"SELECT s, p, o FROM pres WHERE {_at(5)}{_match((None, P, None))}")
+for _role, _name in (("s", "subjects"), ("p", "predicates"), ("o", "objects")):
+    _add(f"dict_{_name}", _presence(lambda p, r=_role: terms.terms(q.vm(p, 5), r)), f"SELECT DISTINCT {_role} AS term FROM pres WHERE {_at(5)}")
+_add("stat_consecutive_table", lambda spark, d: stats.consecutive_table(orders_log(spark, d), orders_presence(spark, d), LAST_ORDERS), """, v AS (SELECT CAST(range AS INTEGER) AS v FROM range(0, 7)),
+h AS (SELECT s, p, o, v.v FROM pres, v WHERE v_from <= v.v AND v_to > v.v),
+tv AS (SELECT DISTINCT t, v FROM (SELECT s AS t, v FROM h UNION ALL SELECT p, v FROM h UNION ALL SELECT o, v FROM h)),
+sv AS (SELECT DISTINCT s, v FROM h),
+pairs AS (SELECT i.v AS version FROM v i WHERE i.v > 0),
+dyn AS (SELECT version, count(*) FILTER (n = 1)::DOUBLE / count(*) AS dynamicity FROM (SELECT version, t, count(*) AS n FROM pairs JOIN tv ON tv.v IN (version - 1, version) GROUP BY version, t) GROUP BY version),
+sigma AS (SELECT version, s FROM pairs JOIN sv ON sv.v IN (version - 1, version) GROUP BY version, s HAVING count(*) = 1),
+ec AS (SELECT version, count(*) AS k FROM sigma GROUP BY version),
+tec AS (SELECT log.version, count(*) AS n FROM log JOIN sigma USING (version, s) GROUP BY log.version),
+rest AS (SELECT log.* FROM log ANTI JOIN sigma USING (version, s)),
+ou AS (SELECT version, count(*) AS u FROM rest a WHERE op = 1 AND EXISTS (SELECT 1 FROM rest b WHERE b.op = -1 AND b.version = a.version AND b.s = a.s AND b.p = a.p) GROUP BY version),
+n AS (SELECT v, count(*)::DOUBLE AS n FROM h GROUP BY v), d AS (SELECT version, count(*)::DOUBLE AS d FROM log GROUP BY version)
+SELECT version, coalesce(d, 0) / (b.n + coalesce(d, 0)) AS change_ratio, dynamicity, n.n / b.n AS growth_ratio, coalesce(k, 0) AS entity_changes,
+  coalesce(tec.n::DOUBLE / k, 0.0) AS triple_to_entity_change, coalesce(u, 0) AS object_updates
+FROM pairs JOIN n ON n.v = version JOIN n b ON b.v = version - 1 LEFT JOIN d USING (version) LEFT JOIN dyn USING (version) LEFT JOIN ec USING (version) LEFT JOIN tec USING (version) LEFT JOIN ou USING (version)""")

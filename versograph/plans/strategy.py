@@ -101,9 +101,11 @@ NAMED = {"never": never, "interval": interval, "size": size, "time": time, "size
 
 
 def parse(name: str, parameters: str = "") -> Strategy | None:
-    """``interval``; or ``and_a-b`` (all of) and ``or_a-b`` (any of) with parameters ``x-y``; None if the numbers differ or a name is unknown."""
+    """``interval``; or ``and_a-b`` (all of) and ``or_a-b`` (any of) with parameters ``x-y``; None if the numbers differ (none are needed for a single name) or a name is unknown."""
     how, _, rest = name.rpartition("_")
     names = rest.split("-")
+    if how and not parameters:
+        return None
     values = parameters.split("-") if parameters else [""] * len(names)
     if len(values) != len(names) or any(n not in NAMED for n in names):
         return None
@@ -116,18 +118,19 @@ def parse(name: str, parameters: str = "") -> Strategy | None:
 def version_meta(presence: DataFrame, log: DataFrame, snapshot: int, last: int) -> DataFrame:
     """(version, delta_size, agg_delta_size, version_size, change_ratio, local_change_ratio) of one chain's versions.
 
-    All versions come from two aggregations, not from one query each: every triple
-    contributes to the versions in which its state differs from that at the snapshot.
+    All versions come from running sums over the changes of each: one to a triple that
+    the snapshot holds takes from it or gives back, another adds or takes back.
     """
     spark = presence.sparkSession
     versions = spark.range(snapshot + 1, last + 1).select(F.col("id").cast("int").alias("version"))
     deltas = log.where((F.col("version") > snapshot) & (F.col("version") <= last)).groupBy("version").agg(F.count(F.lit(1)).alias("delta_size"))
-    states = presence.groupBy("s", "p", "o").agg(F.max(holds(snapshot)).alias("base"), F.collect_list(F.struct("v_from", "v_to")).alias("spans"))
-    inside = lambda v: F.exists("spans", lambda x: (x["v_from"] <= v) & (x["v_to"] > v))
-    each = [F.struct(F.lit(v).alias("version"), inside(v).alias("now")) for v in range(snapshot + 1, last + 1)]
-    rows = states.select("base", F.explode(F.array(*each)).alias("x")).groupBy("x.version").agg(
-        F.sum((F.col("x.now") & ~F.col("base")).cast("bigint")).alias("a"), F.sum((~F.col("x.now") & F.col("base")).cast("bigint")).alias("d"), F.sum(F.col("base").cast("bigint")).alias("n")
-    )
+    base = presence.where(holds(snapshot)).select("s", "p", "o").withColumn("base", F.lit(1))
+    moves = log.where((F.col("version") > snapshot) & (F.col("version") <= last)).join(base, ["s", "p", "o"], "left")
+    kept = F.col("base").isNotNull()
+    steps = moves.groupBy("version").agg(F.sum(F.when(~kept, F.col("op")).otherwise(0)).alias("a"), F.sum(F.when(kept, -F.col("op")).otherwise(0)).alias("d"))
+    n = base.agg(F.count(F.lit(1)).alias("n"))
+    upto = versions.join(F.broadcast(steps.withColumnRenamed("version", "at")), F.col("at") <= F.col("version"), "left")  # a row per version
+    rows = upto.groupBy("version").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("d"), F.lit(0)).alias("d")).crossJoin(F.broadcast(n))  # one row
     out = versions.join(F.broadcast(rows), "version", "left").join(F.broadcast(deltas), "version", "left").na.fill(0)
     size = F.col("n") - F.col("d") + F.col("a")
     out = out.select("version", "delta_size", (F.col("a") + F.col("d")).alias("agg_delta_size"), size.alias("version_size"), ((F.col("a") + F.col("d")) / F.greatest(F.col("n") + F.col("a"), F.lit(1))).alias("change_ratio"))

@@ -13,12 +13,14 @@ the archive as it was.  One writer at a time.
 from __future__ import annotations
 
 import time as clock
+from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versograph.operators import chain as hybrid
+from versograph.operators import lookup
 from versograph.operators import query as q
 from versograph.operators.log import last_write_wins
 from versograph.operators.model import CHANGE_DDL, OPEN, TRIPLE, TRIPLE_DDL, TriplePattern
@@ -28,7 +30,9 @@ _META = "version int, snapshot_id int, is_snapshot boolean, delta_size bigint, a
 
 
 class Archive:
-    def __init__(self, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False, progress: Callable[[str, int], None] | None = None):
+        """``progress`` is called with the name of a section of the work and how much of it is done, in percent."""
+        self.progress = progress or (lambda section, percent: None)
         self.spark, self.path, self.strategy, self.read_only = spark, path.rstrip("/"), strategy or never(), read_only
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if self._exists("") and not self._fs.getFileStatus(self._at("")).isDirectory():
@@ -38,8 +42,8 @@ class Archive:
         self.rows.sort(key=lambda r: r["version"])
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False) -> Archive:
-        return cls(spark, path, strategy, read_only)
+    def open(cls, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False, progress: Callable[[str, int], None] | None = None) -> Archive:
+        return cls(spark, path, strategy, read_only, progress)
 
     # --- files
 
@@ -102,18 +106,25 @@ class Archive:
     def vm(self, version: int, match: TriplePattern | tuple | None = None, offset: int = 0, limit: int | None = None, order: str = "canonical") -> DataFrame:
         """Versions beyond the last are as the last; before the first there is nothing.
 
-        Read from the snapshot and its chain if the version is near a snapshot, else
-        from the intervals; ``order='chain'`` gives the snapshot's triples first.
+        Read from the snapshot and its chain if these have fewer rows, by the manifest,
+        than the intervals; ``order='chain'`` gives the snapshot's triples first.
         """
         version = min(version, self.max_version())
         start = q.routed(self.snapshots(), version)
         if order == "chain" and start >= 0:
             return q.vm_in_chain_order(self.presence(), version, start, match, offset, limit)
-        if start >= 0 and start == version and self._exists(f"snapshots/version={start}"):
-            rows = hybrid.pattern(match).filter(self.snapshot(start)).select(*TRIPLE)
-            return q.page(rows, TRIPLE, offset, limit)
+        if start >= 0 and self._chain_rows(start, version) < self._interval_rows(version) and self._exists(f"snapshots/version={start}"):
+            return q.page(self.vm_hybrid(version, match), TRIPLE, offset, limit)
         return q.vm(self.presence(), version, match, offset, limit)
 
+    def _chain_rows(self, start: int, version: int) -> int:
+        """Rows of a snapshot and of the changes after it up to a version."""
+        return sum(r["version_size"] if r["version"] == start else r["delta_size"] for r in self.rows if start <= r["version"] <= version)
+
+    def _interval_rows(self, version: int) -> int:
+        """Rows that a look at the intervals reads at least: the open ones and those that ended after the version."""
+        return self.rows[-1]["version_size"] + sum(r["delta_size"] for r in self.rows if r["version"] > version) // 2
+
     def vm_hybrid(self, version: int, match: TriplePattern | tuple | None = None) -> DataFrame:
         version = min(version, self.max_version())
         start = q.routed(self.snapshots(), version)
@@ -122,10 +133,13 @@ class Archive:
         return hybrid.vm_hybrid(self.snapshot(start), self.log(), start, version, match)
 
     def vm_count(self, version: int, match: TriplePattern | tuple | None = None, estimate: bool = False) -> tuple[int, str]:
-        """The estimate of an unbounded pattern comes from the manifest; other counts are exact."""
+        """An estimate comes from the manifest if the pattern is unbounded, else from the snapshot's matches and the changes since."""
         row = next((r for r in reversed(self.rows) if r["version"] <= version), None)
         if estimate and row and not hybrid.pattern(match).bound():
             return row["version_size"], q.EXACT
+        start = q.routed(self.snapshots(), min(version, self.max_version()))
+        if estimate and start >= 0:
+            return tuple(lookup.vm_estimate(self.log(), self.snapshot(start), start, min(version, self.max_version()), match).head())
         return self.vm(version, match).count(), q.EXACT
 
     def dm(self, start: int, end: int, match: TriplePattern | tuple | None = None, offset: int = 0, limit: int | None = None, plain_diff: bool = False) -> DataFrame:
@@ -145,7 +159,9 @@ class Archive:
     def vq(self, match: TriplePattern | tuple | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
         return q.vq(self.presence(), self.max_version(), match, offset, limit)
 
-    def vq_count(self, match: TriplePattern | tuple | None = None) -> tuple[int, str]:
+    def vq_count(self, match: TriplePattern | tuple | None = None, estimate: bool = False) -> tuple[int, str]:
+        if estimate:
+            return tuple(lookup.vq_estimate(self.presence(), self.snapshots(), match).head())
         return q.vq_count(self.presence(), match).head()["n"], q.EXACT
 
     # --- writing
@@ -175,7 +191,9 @@ class Archive:
         changes = last_write_wins(changes).persist()
         old_log = self._read(f"log/version={version}", f"{TRIPLE_DDL}, op int") if again else self.spark.createDataFrame([], f"{TRIPLE_DDL}, op int")
         if check_uniqueness and again and not changes.join(old_log, TRIPLE, "left_semi").isEmpty():
+            changes.unpersist()
             return False
+        self.progress("open triples", 0)
         now = self._open()
         closed = self._read(f"closed/v_to={version}", f"{TRIPLE_DDL}, v_from int") if again else self.spark.createDataFrame([], f"{TRIPLE_DDL}, v_from int")
         plus, minus = changes.where("op = 1").select(*TRIPLE), changes.where("op = -1").select(*TRIPLE)
@@ -188,13 +206,16 @@ class Archive:
         generation = self.generation + 1
         target = f"{self.path}/open/gen={generation}"
         open_now.sortWithinPartitions("p", "o", "s").write.mode("overwrite").parquet(target)
+        self.progress("change set", 40)
         parts = {f"closed/v_to={version}": closed_now, f"log/version={version}": log_now}
         for name, frame in parts.items():
             frame.write.mode("overwrite").parquet(f"{self.path}/_new/{name}")
         for name in parts:  # only now, as the new parts were read from the old ones
             self._swap(name)
         changes.unpersist()
+        self.progress("manifest", 80)
         self._note(version, generation, int((clock.time() - began) * 1000))
+        self.progress("done", 100)
         return True
 
     def _swap(self, name: str) -> None:
