@@ -2,6 +2,8 @@ import pytest
 
 from tests.archive.test_golden import F2, F7, F8, delta, lists, log, rows, triples
 from versograph import cli
+from versograph.functions import terms
+from versograph.operators import lookup
 from versograph.operators import query as q
 from versograph.operators.log import intervals
 from versograph.plans import strategy
@@ -33,6 +35,10 @@ def test_archive_equals_intervals(spark, tmp_path):
     assert lists(again.vq()) == lists(a.vq()) and again.version_meta().count() == 8
     with pytest.raises(PermissionError):
         again.new_patch().addition("x", "y", "z").commit()
+    for v in (2, 5, 7):
+        assert a.vm_count(v, ("a", None, None), estimate=True) == (a.vm(v, ("a", None, None)).count(), "EXACT")
+    n, kind = a.vq_count(estimate=True)
+    assert kind == "UP_TO" and n >= a.vq().count()
     a.cleanup()
     assert Archive.open(spark, str(tmp_path / "a")).max_version() == -1
 
@@ -56,6 +62,32 @@ def test_skipped_versions_carry_on(spark, tmp_path):
     assert lists(a.vq(("h", "p", "o"))) == {"hpo": [0, 1, 2, 3, 5, 6]}
 
 
+def test_progress_and_lookups(spark, tmp_path):
+    seen = []
+    a = Archive.open(spark, str(tmp_path / "a"), progress=lambda section, percent: seen.append((section, percent)))
+    fill(a, F2)
+    assert seen[:4] == [("open triples", 0), ("change set", 40), ("manifest", 80), ("done", 100)]
+    patch = spark.createDataFrame([("a", "a", "a", 1), ("a", "a", "b", -1), ("b", "a", "a", 1)], "s string, p string, o string, op int")
+    at = lambda df: df.head()["position"]
+    assert at(lookup.position_of(patch, ("a", "a", "b", 1))) == 2 and at(lookup.position_of(patch, ("a", "a", "b", 1), strict=True)) == -1
+    assert at(lookup.position_of_pattern(patch, ("b", "a", "a", 1), "po")) == 1 and at(lookup.position_of_pattern(patch, ("b", "a", "a", 1), "s")) == 0
+    assert at(lookup.index_of_triple(patch, ("b", "a", "a"))) == 2 and at(lookup.index_of_triple(patch, ("c", "a", "a"))) == -1
+    with pytest.raises(IndexError):
+        lookup.element_at(patch, 3)
+    with pytest.raises(ValueError):
+        lookup.folded_delta(a.log(), [0, 3], 0, 2)
+
+
+def test_terms_by_ids_and_shown_patches(spark):
+    t = spark.createDataFrame([("a", "b", "c"), ("c", "b", "a")], "s string, p string, o string")
+    ids = terms.dictionary(t)
+    coded = terms.encode(t, ids)
+    assert sorted(map(tuple, coded.select("s", "p", "o").collect())) == [(1, 2, 3), (3, 2, 1)]
+    assert sorted(map(tuple, terms.decode(coded, ids).select("s", "p", "o").collect())) == [("a", "b", "c"), ("c", "b", "a")]
+    shown = ntriples.show_patch(t.selectExpr("s", "p", "o", "1 AS op", "s = 'a' AS local")).collect()
+    assert sorted(r.line for r in shown) == ["a b c. (+) L", "c b a. (+)"]
+
+
 def test_first_version_takes_no_deletions(spark, tmp_path):
     a = Archive.open(spark, str(tmp_path / "a"))
     one = spark.createDataFrame([("a", "b", "c")], "s string, p string, o string")
@@ -112,4 +144,4 @@ def test_strategies():
     assert strategy.aggchange(0.5)(c) and not strategy.aggchange(1.5)(c)
     assert strategy.parse("and_interval-size2", "3-0.3")(c) and not strategy.parse("and_interval-size2", "2-0.3")(c)
     assert strategy.parse("or_interval-size2", "2-0.3")(c) and strategy.parse("interval", "3")(c)
-    assert strategy.parse("and_interval-size2", "3") is None and strategy.parse("nothing") is None
+    assert strategy.parse("and_interval-size2") is None and strategy.parse("and_interval-size2", "3") is None and strategy.parse("nothing") is None

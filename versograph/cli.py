@@ -1,12 +1,16 @@
-"""Command line: ``insert``, ``vm``, ``dm``, ``vq``, ``statistics`` and ``evaluate``.
+"""Command line: ``insert``, ``populate``, ``vm``, ``dm``, ``vq``, ``statistics``, ``table`` and ``evaluate``.
 
     python -m versograph.cli insert PATH [-s STRATEGY PARAMETER] VERSION [+|- FILE...]...
+    python -m versograph.cli populate PATH [-s STRATEGY PARAMETER] versions|changes FOLDER
     python -m versograph.cli vm PATH VERSION S P O [OFFSET]
     python -m versograph.cli dm PATH START END S P O [OFFSET]
     python -m versograph.cli vq PATH S P O [OFFSET]
     python -m versograph.cli statistics PATH NAME START END
+    python -m versograph.cli table PATH
     python -m versograph.cli evaluate PATH QUERIES [REPLICATIONS]
 
+``populate`` takes a folder of versions or of changes and prints version, changes, milliseconds and
+bytes of the archive for each; ``table`` prints the statistics of every version against the one before.
 ``?`` stands for any term.  A file of queries has ``s p o [offset limit]`` per line.
 """
 
@@ -18,10 +22,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from versograph.functions.stats import STATISTICS
+from versograph.functions.stats import STATISTICS, consecutive_table
 from versograph.operators.model import TriplePattern
 from versograph.plans import strategy as strategies
-from versograph.sources import ntriples
+from versograph.sources import layouts, ntriples
 from versograph.sources.store import Archive
 
 _TERM = rf"{ntriples._RESOURCE}|{ntriples._LITERAL}|\?\S*"
@@ -38,6 +42,23 @@ def signed_files(args: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def populate(spark: SparkSession, path: str, args: list[str]) -> int:
+    strategy = None
+    if args[:1] == ["-s"]:
+        strategy, args = strategies.parse(args[1], args[2]), args[3:]
+        if strategy is None:
+            sys.exit("unknown strategy")
+    archive = Archive.open(spark, path, strategy)
+    print("Version,Changes,Milliseconds,Bytes")
+
+    def done(version: int) -> None:
+        row = archive.rows[-1]
+        print(f"{version},{row['delta_size']},{row['ingest_ms']},{archive.size()}")
+
+    layouts.populate(archive, args[1], args[0], done=done)
+    return 0
+
+
 def insert(spark: SparkSession, path: str, args: list[str]) -> int:
     strategy = None
     if args[:1] == ["-s"]:
@@ -73,11 +94,15 @@ def evaluate(archive: Archive, queries: list[str], replications: int = 5) -> lis
         runs = [("vm", v, lambda v=v: archive.vm(v, m, offset, limit)) for v in range(last + 1)]
         runs += [("dm", v, lambda v=v: archive.dm(0, v, m, offset, limit)) for v in range(1, last + 1)]
         runs.append(("vq", last, lambda: archive.vq(m, offset, limit)))
-        for kind, version, make in runs:
-            rows, spent = make().count(), []
+        counts = [("vm_count", v, lambda v=v: archive.vm_count(v, m)) for v in range(last + 1)]
+        counts += [("dm_count", v, lambda v=v: archive.dm_count(0, v, m)) for v in range(1, last + 1)]
+        counts.append(("vq_count", last, lambda: archive.vq_count(m)))
+        for kind, version, make in runs + counts:
+            count = (lambda make=make: make()[0]) if kind.endswith("count") else (lambda make=make: make().count())
+            rows, spent = count(), []
             for _ in range(replications):
                 began = time.perf_counter()
-                make().count()
+                count()
                 spent.append((time.perf_counter() - began) * 1000)
             out.append({"query": line.strip(), "kind": kind, "version": version, "rows": rows, "median_ms": statistics.median(spent)})
     return out
@@ -87,6 +112,8 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     command, path, *rest = argv
     if command == "insert":
         return insert(spark, path, rest)
+    if command == "populate":
+        return populate(spark, path, rest)
     archive = Archive.open(spark, path, read_only=True)
     numbers = {"vm": 1, "dm": 2, "vq": 0}
     if command in numbers:
@@ -100,6 +127,11 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif command == "statistics":
         name, i, j = rest
         print(STATISTICS[name](archive.presence(), int(i), int(j)).head()["value"])
+    elif command == "table":
+        table = consecutive_table(archive.log(), archive.presence(), archive.max_version()).orderBy("version")
+        print(",".join(table.columns))
+        for r in table.collect():  # a row per version
+            print(",".join(str(x) for x in r))
     elif command == "evaluate":
         lines = [r.value for r in spark.read.text(rest[0]).toLocalIterator()]
         for r in evaluate(archive, lines, int(rest[1]) if len(rest) > 1 else 5):

@@ -6,8 +6,10 @@
 * ``snapshots/version=<v>``: versions that the strategy chose to materialise;
 * ``manifest/gen=<n>``: a row per version with the sizes that strategies look at.
 
-A reader takes the newest manifest, which is written last, so a failed write leaves
-the archive as it was.  One writer at a time.
+A reader takes the newest manifest, which is written last, so a failed write of a new
+version leaves the archive as it was.  A second append to the last version replaces its
+``log`` and ``closed`` folders before the manifest; if it fails between the two, repeat it.
+One writer at a time.
 """
 
 from __future__ import annotations
@@ -65,6 +67,10 @@ class Archive:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
 
+    def size(self) -> int:
+        """Bytes of all files."""
+        return self._fs.getContentSummary(self._at("")).getLength() if self._exists("") else 0
+
     def cleanup(self) -> None:
         """Deletes the archive."""
         self._writable()
