@@ -1,4 +1,10 @@
-"""A corpus pipeline of five operators; each stage's documents are written and reread as the next one's."""
+"""A corpus pipeline of five operators; each stage's documents are written and reread as the next one's.
+
+Every stage takes the columns of documents by name and ignores others.  Null texts count
+as empty; the first stage drops these and all that have fewer than ten words.  Null ids,
+languages, sources and n_chars stay null.  Repeated rows are judged each until
+near-duplicates leave one of them.  An empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
