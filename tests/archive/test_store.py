@@ -145,3 +145,50 @@ def test_strategies():
     assert strategy.parse("and_interval-size2", "3-0.3")(c) and not strategy.parse("and_interval-size2", "2-0.3")(c)
     assert strategy.parse("or_interval-size2", "2-0.3")(c) and strategy.parse("interval", "3")(c)
     assert strategy.parse("and_interval-size2") is None and strategy.parse("and_interval-size2", "3") is None and strategy.parse("nothing") is None
+
+
+@pytest.mark.parametrize("step", ["_put", "_manifest", "_clean"])
+def test_a_write_that_fails_leaves_the_archive(spark, tmp_path, step, monkeypatch):
+    def fail(*args):
+        raise OSError("lost")
+
+    path = str(tmp_path / "a")
+    fill(Archive.open(spark, path, strategy.interval(2)), F2)
+    a = Archive.open(spark, path, strategy.interval(2))
+    before, last = lists(a.vq()), a.max_version()
+    done = step == "_clean"
+    for version, op in ((last, 1), (last + 1, -1)):  # an append to the last version again, and to a new one
+        monkeypatch.setattr(Archive, step, fail)
+        with pytest.raises(OSError, match="lost"):
+            a.new_patch(version).triple("l", "a", "o", op == 1).addition("n", "n", str(version)).commit()
+        monkeypatch.undo()
+        for seen in (a, Archive.open(spark, path)):
+            assert seen.max_version() == (version if done else last)
+            assert {k: v for k, v in lists(seen.vq()).items() if k[0] != "n"} == before or done
+            assert ("nn" + str(version) in lists(seen.vq())) == done
+    a = Archive.open(spark, path, strategy.interval(2))
+    a.new_patch(last + 2).addition("z", "z", "z").commit()  # what the failed write of last + 1 left isn't seen
+    assert lists(a.vq())["zzz"] == [last + 2]
+    assert sorted(triples(a.vm(last + 2))) == sorted(triples(a.vm_hybrid(last + 2)))
+    if not done:
+        assert a.log().where(f"version = {last + 1}").isEmpty()
+        assert {k: [x for x in v if x <= last] for k, v in lists(a.vq()).items() if k != "zzz"} == before
+
+
+def test_an_append_rewrites_its_buckets_only(spark, tmp_path):
+    a = Archive.open(spark, str(tmp_path / "a"), buckets=8)
+    many = spark.range(500).selectExpr("concat('s', id) AS s", "concat('p', id % 3) AS p", "concat('o', id % 7) AS o")
+    assert a.ingest(0, many)
+    gens = list(a.buckets)
+    assert gens == [0] * 8
+    a.new_patch(1).deletion("s7", "p1", "o0").addition("s7", "p1", "x").commit()
+    assert sum(g != 0 for g in a.buckets) == 1 and a.vm(1).count() == 500
+    rows = a.vm(1, ("s7", None, None))
+    assert [tuple(r) for r in rows.collect()] == [("s7", "p1", "x")]
+    plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters" in plan and "EqualTo(s,s7)" in plan
+    assert len(a._open(("s7", None, None)).inputFiles()) <= len(a._open().inputFiles())
+    scans = [x for x in plan.splitlines() if "PartitionFilters" in x]
+    assert any("bucket" in x for x in scans) and any("v_to" in x for x in scans)
+    again = Archive.open(spark, str(tmp_path / "a"), buckets=3)
+    assert len(again.buckets) == 8 and again.vm(0).count() == 500

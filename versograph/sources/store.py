@@ -1,15 +1,17 @@
 """A persistent archive: one folder that Spark reads and writes, on any file system.
 
-* ``log/version=<v>``: the changes that took effect at each version;
-* ``closed/v_to=<v>``: intervals that ended at a version, never written again later;
-* ``open/gen=<n>``: triples that hold at the last version, one generation per write;
-* ``snapshots/version=<v>``: versions that the strategy chose to materialise;
-* ``manifest/gen=<n>``: a row per version with the sizes that strategies look at.
-
-A reader takes the newest manifest, which is written last, so a failed write of a new
-version leaves the archive as it was.  A second append to the last version replaces its
-``log`` and ``closed`` folders before the manifest; if it fails between the two, repeat it.
-One writer at a time.
+* ``log/version=<v>/gen=<n>``: the changes that took effect at each version;
+* ``closed/v_to=<v>/gen=<n>``: intervals that ended at a version;
+* ``open/bucket=<b>/gen=<n>``: triples that hold at the last version, by the hash of the subject;
+* ``snapshots/version=<v>/gen=<n>``: versions that the strategy chose to materialise;
+* ``manifest/gen=<n>``: a row per version with the sizes that strategies look at, the
+  generation that wrote its folders, and the generation of each bucket.
+
+Every write has a generation of its own and puts its files beside those of earlier
+ones.  A reader takes the newest whole manifest, which is written last, and reads only
+the generations that it names: a write that fails at any point leaves the archive as it
+was.  An append rewrites the buckets that its changes fall into, and no other.  A look
+at one subject reads one bucket.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -18,34 +20,40 @@ import time as clock
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versograph.operators import chain as hybrid
 from versograph.operators import lookup
 from versograph.operators import query as q
-from versograph.operators.log import last_write_wins
-from versograph.operators.model import CHANGE_DDL, OPEN, TRIPLE, TRIPLE_DDL, TriplePattern
+from versograph.operators.log import last_write_wins, net
+from versograph.operators.model import OPEN, TRIPLE, TRIPLE_DDL, TriplePattern
 from versograph.plans.strategy import Chain, Strategy, Version, never
 
-_META = "version int, snapshot_id int, is_snapshot boolean, delta_size bigint, agg_delta_size bigint, version_size bigint, change_ratio double, local_change_ratio double, ingest_ms bigint, snapshot_size bigint"
+_META = "version int, snapshot_id int, is_snapshot boolean, delta_size bigint, agg_delta_size bigint, version_size bigint, change_ratio double, local_change_ratio double, ingest_ms bigint, snapshot_size bigint, generation int, buckets array<int>"
+#: Folders of a version and the names of their parts.
+_FOLDERS = {"log": "version", "closed": "v_to", "snapshots": "version"}
 
 
 class Archive:
-    def __init__(self, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False, progress: Callable[[str, int], None] | None = None):
-        """``progress`` is called with the name of a section of the work and how much of it is done, in percent."""
+    def __init__(self, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False, progress: Callable[[str, int], None] | None = None, buckets: int = 64):
+        """``progress`` is called with the name of a section of the work and how much of it is done, in percent.
+
+        ``buckets`` holds for a new archive; choose it so that a bucket of the last version has some GB at most.
+        """
         self.progress = progress or (lambda section, percent: None)
         self.spark, self.path, self.strategy, self.read_only = spark, path.rstrip("/"), strategy or never(), read_only
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if self._exists("") and not self._fs.getFileStatus(self._at("")).isDirectory():
             raise NotADirectoryError(path)
-        self.generation = max(self._numbers("manifest"), default=-1)
+        self.generation = next((g for g in reversed(self._numbers("manifest")) if self._exists(f"manifest/gen={g}/_SUCCESS")), -1)
         self.rows = [r.asDict() for r in spark.read.schema(_META).parquet(f"{self.path}/manifest/gen={self.generation}").collect()] if self.generation >= 0 else []
         self.rows.sort(key=lambda r: r["version"])
+        self.buckets = self.rows[-1]["buckets"] if self.rows else [-1] * buckets
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False, progress: Callable[[str, int], None] | None = None) -> Archive:
-        return cls(spark, path, strategy, read_only, progress)
+    def open(cls, spark: SparkSession, path: str, strategy: Strategy | None = None, read_only: bool = False, progress: Callable[[str, int], None] | None = None, buckets: int = 64) -> Archive:
+        return cls(spark, path, strategy, read_only, progress, buckets)
 
     # --- files
 
@@ -75,7 +83,7 @@ class Archive:
         """Deletes the archive."""
         self._writable()
         self._fs.delete(self._at(""), True)
-        self.generation, self.rows = -1, []
+        self.generation, self.rows, self.buckets = -1, [], [-1] * len(self.buckets)
 
     def _writable(self) -> None:
         if self.read_only:
@@ -91,21 +99,50 @@ class Archive:
         return [r["version"] for r in self.rows if r["is_snapshot"]]
 
     def version_meta(self) -> DataFrame:
+        return self._manifest().drop("generation", "buckets")
+
+    def _manifest(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(r[c.split()[0]] for c in _META.split(", ")) for r in self.rows], _META)
 
-    def log(self) -> DataFrame:
-        return self._read("log", CHANGE_DDL).where(F.col("version") <= self.max_version())
+    def _row(self, version: int) -> dict | None:
+        return next((r for r in self.rows if r["version"] == version), None)
 
-    def presence(self) -> DataFrame:
-        closed = self._read("closed", f"{TRIPLE_DDL}, v_from int, v_to int").where(F.col("v_to") <= self.max_version())
-        return closed.select(*TRIPLE, "v_from", "v_to").unionByName(self._open().withColumn("v_to", F.lit(OPEN)))
+    def _versions(self, name: str, ddl: str) -> DataFrame:
+        """A folder's rows of all versions, of the generations in the manifest; a condition on the folders alone, so the rest isn't read."""
+        key = _FOLDERS[name]
+        rows = self._read(name, f"{ddl}, {key} int, gen int")
+        if not self.rows:
+            return rows.where(F.lit(False))
+        known = F.create_map(*[F.lit(x) for r in self.rows for x in (r["version"], r["generation"])])
+        return rows.where(known[F.col(key)] == F.col("gen"))
 
-    def _open(self) -> DataFrame:
-        ddl = f"{TRIPLE_DDL}, v_from int"
-        return self._read(f"open/gen={self.generation}", ddl) if self.generation >= 0 else self.spark.createDataFrame([], ddl)
+    def _version(self, name: str, version: int, ddl: str) -> DataFrame:
+        row = self._row(version)
+        return self._read(f"{name}/{_FOLDERS[name]}={version}/gen={row['generation']}", ddl) if row else self.spark.createDataFrame([], ddl)
+
+    def log(self) -> DataFrame:
+        return self._versions("log", f"{TRIPLE_DDL}, op int").select("version", *TRIPLE, "op")
+
+    def presence(self, match: TriplePattern | tuple | None = None) -> DataFrame:
+        """The intervals, without some that can't match."""
+        closed = self._versions("closed", f"{TRIPLE_DDL}, v_from int")
+        return closed.select(*TRIPLE, "v_from", "v_to").unionByName(self._open(match).withColumn("v_to", F.lit(OPEN)))
+
+    def _bucket(self, subject: Column) -> Column:
+        return F.pmod(F.xxhash64(subject), F.lit(len(self.buckets))).cast("int")
+
+    def _open(self, match: TriplePattern | tuple | None = None, buckets: list[int] | None = None) -> DataFrame:
+        rows = self._read("open", f"{TRIPLE_DDL}, v_from int, bucket int, gen int")
+        rows = rows.where(F.array(*map(F.lit, self.buckets))[F.col("bucket")] == F.col("gen"))
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        subject = hybrid.pattern(match).bound().get("s")
+        if subject is not None:
+            rows = rows.where(F.col("bucket") == self._bucket(F.lit(subject)))
+        return rows.select(*TRIPLE, "v_from")
 
     def snapshot(self, version: int) -> DataFrame:
-        return self._read(f"snapshots/version={version}", TRIPLE_DDL)
+        return self._version("snapshots", version, TRIPLE_DDL)
 
     # --- queries
 
@@ -118,10 +155,10 @@ class Archive:
         version = min(version, self.max_version())
         start = q.routed(self.snapshots(), version)
         if order == "chain" and start >= 0:
-            return q.vm_in_chain_order(self.presence(), version, start, match, offset, limit)
-        if start >= 0 and self._chain_rows(start, version) < self._interval_rows(version) and self._exists(f"snapshots/version={start}"):
+            return q.vm_in_chain_order(self.presence(match), version, start, match, offset, limit)
+        if start >= 0 and self._chain_rows(start, version) < self._interval_rows(version):
             return q.page(self.vm_hybrid(version, match), TRIPLE, offset, limit)
-        return q.vm(self.presence(), version, match, offset, limit)
+        return q.vm(self.presence(match), version, match, offset, limit)
 
     def _chain_rows(self, start: int, version: int) -> int:
         """Rows of a snapshot and of the changes after it up to a version."""
@@ -154,21 +191,21 @@ class Archive:
         m = hybrid.pattern(match)
         if end <= start or start < min(self.snapshots(), default=0):
             return self.spark.createDataFrame([], f"{TRIPLE_DDL}, addition boolean")
-        rows = q.dm_plain(self.presence(), start, end, m) if plain_diff else hybrid.dm_hybrid(self.log(), start, end, m)
+        rows = q.dm_plain(self.presence(m), start, end, m) if plain_diff else hybrid.dm_hybrid(self.log(), start, end, m)
         return q.page(rows, m.order(), offset, limit)
 
     def dm_count(self, start: int, end: int, match: TriplePattern | tuple | None = None, estimate: bool = False) -> tuple[int, str]:
         if estimate:
-            return tuple(q.dm_estimate(self.presence(), start, min(end, self.max_version()), self.snapshots(), match).head())
+            return tuple(q.dm_estimate(self.presence(match), start, min(end, self.max_version()), self.snapshots(), match).head())
         return self.dm(start, end, match).count(), q.EXACT
 
     def vq(self, match: TriplePattern | tuple | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-        return q.vq(self.presence(), self.max_version(), match, offset, limit)
+        return q.vq(self.presence(match), self.max_version(), match, offset, limit)
 
     def vq_count(self, match: TriplePattern | tuple | None = None, estimate: bool = False) -> tuple[int, str]:
         if estimate:
-            return tuple(lookup.vq_estimate(self.presence(), self.snapshots(), match).head())
-        return q.vq_count(self.presence(), match).head()["n"], q.EXACT
+            return tuple(lookup.vq_estimate(self.presence(match), self.snapshots(), match).head())
+        return q.vq_count(self.presence(match), match).head()["n"], q.EXACT
 
     # --- writing
 
@@ -194,74 +231,87 @@ class Archive:
         if version < self.max_version():
             raise ValueError(f"version {version} comes before the last, {self.max_version()}")
         again = version == self.max_version()
-        changes = last_write_wins(changes).persist()
-        old_log = self._read(f"log/version={version}", f"{TRIPLE_DDL}, op int") if again else self.spark.createDataFrame([], f"{TRIPLE_DDL}, op int")
-        if check_uniqueness and again and not changes.join(old_log, TRIPLE, "left_semi").isEmpty():
+        changes = last_write_wins(changes).withColumn("__bucket", self._bucket(F.col("s"))).persist()
+        try:
+            old_log = self._version("log", version, f"{TRIPLE_DDL}, op int")
+            if check_uniqueness and again and not changes.join(old_log, TRIPLE, "left_semi").isEmpty():
+                return False
+            self.progress("open triples", 0)
+            generation = max(self.generation, *self._numbers("attempts"), -1) + 1
+            self._fs.mkdirs(self._at(f"attempts/gen={generation}"))  # so no other write takes this number
+            touched = sorted(r[0] for r in changes.select("__bucket").distinct().collect())  # as many as buckets at most
+            now, closed = self._open(buckets=touched), self._version("closed", version, f"{TRIPLE_DDL}, v_from int")
+            plus, minus = changes.where("op = 1").select(*TRIPLE), changes.where("op = -1").select(*TRIPLE)
+            new = plus.join(now, TRIPLE, "left_anti")
+            back = closed.join(new, TRIPLE, "left_semi")
+            open_now = now.join(minus, TRIPLE, "left_anti").unionByName(back).unionByName(new.join(closed, TRIPLE, "left_anti").withColumn("v_from", F.lit(version)))
+            open_now = open_now.withColumn("bucket", self._bucket(F.col("s"))).withColumn("gen", F.lit(generation)).hint("rebalance", "bucket")
+            if touched:
+                open_now.sortWithinPartitions("bucket", "p", "o", "s").write.partitionBy("bucket", "gen").mode("append").parquet(f"{self.path}/open")
+            self.progress("change set", 40)
+            closed_now = closed.join(new, TRIPLE, "left_anti").unionByName(now.join(minus, TRIPLE, "left_semi").where(F.col("v_from") < version))
+            self._put("closed", version, generation, closed_now)
+            before, self.buckets = self.buckets, [generation if b in touched else g for b, g in enumerate(self.buckets)]
+            try:
+                added = self._open(buckets=touched).where(F.col("v_from") == version).select(*TRIPLE)
+                kept = old_log.where((F.col("op") == 1) & ~self._bucket(F.col("s")).isin(touched)).select(*TRIPLE)
+                gone = self._read(f"closed/v_to={version}/gen={generation}", TRIPLE_DDL)
+                self._put("log", version, generation, gone.withColumn("op", F.lit(-1)).unionByName(added.unionByName(kept).withColumn("op", F.lit(1))))
+                self.progress("manifest", 80)
+                self._note(version, generation, began)
+            except BaseException:
+                self.buckets = before
+                raise
+        finally:
             changes.unpersist()
-            return False
-        self.progress("open triples", 0)
-        now = self._open()
-        closed = self._read(f"closed/v_to={version}", f"{TRIPLE_DDL}, v_from int") if again else self.spark.createDataFrame([], f"{TRIPLE_DDL}, v_from int")
-        plus, minus = changes.where("op = 1").select(*TRIPLE), changes.where("op = -1").select(*TRIPLE)
-        new = plus.join(now, TRIPLE, "left_anti")
-        gone = now.join(minus, TRIPLE, "left_semi")
-        back = closed.join(new, TRIPLE, "left_semi")
-        open_now = now.join(minus, TRIPLE, "left_anti").unionByName(back).unionByName(new.join(closed, TRIPLE, "left_anti").withColumn("v_from", F.lit(version)))
-        closed_now = closed.join(new, TRIPLE, "left_anti").unionByName(gone.where(F.col("v_from") < version))
-        log_now = closed_now.select(*TRIPLE, F.lit(-1).alias("op")).unionByName(open_now.where(F.col("v_from") == version).select(*TRIPLE, F.lit(1).alias("op")))
-        generation = self.generation + 1
-        target = f"{self.path}/open/gen={generation}"
-        open_now.sortWithinPartitions("p", "o", "s").write.mode("overwrite").parquet(target)
-        self.progress("change set", 40)
-        parts = {f"closed/v_to={version}": closed_now, f"log/version={version}": log_now}
-        for name, frame in parts.items():
-            frame.write.mode("overwrite").parquet(f"{self.path}/_new/{name}")
-        for name in parts:  # only now, as the new parts were read from the old ones
-            self._swap(name)
-        changes.unpersist()
-        self.progress("manifest", 80)
-        self._note(version, generation, int((clock.time() - began) * 1000))
+        self._clean(version, generation, touched, before)
         self.progress("done", 100)
         return True
 
-    def _swap(self, name: str) -> None:
-        self._fs.mkdirs(self._at(name.split("/")[0]))
-        self._fs.delete(self._at(name), True)
-        self._fs.rename(self._at(f"_new/{name}"), self._at(name))
-
-    def _chain(self) -> Chain:
-        start = max((i for i, r in enumerate(self.rows) if r["is_snapshot"]), default=0)
-        c = Chain(self.rows[start]["version"], self.rows[start]["version_size"])
+    def _put(self, name: str, version: int, generation: int, rows: DataFrame) -> None:
+        rows.hint("rebalance").sortWithinPartitions(*TRIPLE).write.parquet(f"{self.path}/{name}/{_FOLDERS[name]}={version}/gen={generation}")
+
+    def _clean(self, version: int, generation: int, touched: list[int], before: list[int]) -> None:
+        """Deletes what this write replaced or found left of failed ones, but for what a reader of the manifest before may still read."""
+        keep = {f"open/bucket={b}": {self.buckets[b], before[b]} for b in touched}
+        keep |= {f"{name}/{key}={version}": {generation, self._previous} for name, key in _FOLDERS.items()}
+        keep |= {"manifest": {generation, *[g for g in self._numbers("manifest") if g < generation][-1:]}, "attempts": {generation}}
+        for name, stay in keep.items():
+            for g in self._numbers(name):
+                if g not in stay:
+                    self._fs.delete(self._at(f"{name}/gen={g}"), True)
+
+    def _chain(self, rows: list[dict]) -> Chain:
+        start = max((i for i, r in enumerate(rows) if r["is_snapshot"]), default=0)
+        c = Chain(rows[start]["version"], rows[start]["version_size"])
         names = list(asdict(Version(0)))
-        c.versions = [Version(**{k: r[k] for k in names}) for r in self.rows[start + 1 :]]
+        c.versions = [Version(**{k: r[k] for k in names}) for r in rows[start + 1 :]]
         return c
 
-    def _note(self, version: int, generation: int, ingest_ms: int) -> None:
-        self.rows = [r for r in self.rows if r["version"] != version]
-        first = not self.rows
+    def _note(self, version: int, generation: int, began: float) -> None:
+        """The manifest with a row for the version.  Its sizes come from the changes, no triple of another version is counted anew."""
+        old, earlier = self.rows, [r for r in self.rows if r["version"] != version]
+        sizes = lambda rows: [x or 0 for x in rows.agg(F.sum((F.col("op") == 1).cast("int")), F.sum((F.col("op") == -1).cast("int"))).head()]
+        added, deleted = sizes(self._read(f"log/version={version}/gen={generation}", "op int"))
+        now = (earlier[-1]["version_size"] if earlier else 0) + added - deleted
+        self.rows = [*earlier, {"version": version, "generation": generation}]
+        try:
+            if not earlier:
+                row = asdict(Version(version, now, 0, now, 0.0, 0.0, int((clock.time() - began) * 1000))) | {"snapshot_id": version, "is_snapshot": True, "snapshot_size": now}
+            else:
+                c = self._chain(earlier)
+                v = c.add(version, added + deleted, *sizes(net(self.log(), c.snapshot, version)), int((clock.time() - began) * 1000))
+                snap = self.strategy(c)
+                row = asdict(v) | {"snapshot_id": version if snap else c.snapshot, "is_snapshot": snap, "snapshot_size": v.version_size if snap else c.snapshot_size}
+            if row["is_snapshot"]:
+                self._put("snapshots", version, generation, self._open().select(*TRIPLE))
+            self.rows = [*[r | {"buckets": None} for r in earlier], row | {"generation": generation, "buckets": self.buckets}]
+            self._manifest().coalesce(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/manifest/gen={generation}")
+        except BaseException:
+            self.rows = old
+            raise
+        self._previous = next((r["generation"] for r in old if r["version"] == version), generation)
         self.generation = generation
-        now = self.spark.read.parquet(f"{self.path}/open/gen={generation}").count()
-        if first:
-            row = asdict(Version(version, now, 0, now, 0.0, 0.0, ingest_ms)) | {"snapshot_id": version, "is_snapshot": True, "snapshot_size": now}
-            snap = True
-        else:
-            c = self._chain()
-            self.rows.append({"version": version, "is_snapshot": False})
-            p = self.presence()
-            delta = self._read(f"log/version={version}", f"{TRIPLE_DDL}, op int").count()
-            at = p.where(q.holds(c.snapshot) | q.holds(version)).groupBy(*TRIPLE).agg(F.max(q.holds(c.snapshot)).alias("a"), F.max(q.holds(version)).alias("b"))
-            sums = at.agg(F.sum((~F.col("a") & F.col("b")).cast("int")), F.sum((F.col("a") & ~F.col("b")).cast("int"))).head()
-            self.rows.pop()
-            v = c.add(version, delta, sums[0] or 0, sums[1] or 0, ingest_ms)
-            snap = self.strategy(c)
-            row = asdict(v) | {"snapshot_id": version if snap else c.snapshot, "is_snapshot": snap, "snapshot_size": v.version_size if snap else c.snapshot_size}
-        if snap:
-            self.spark.read.parquet(f"{self.path}/open/gen={generation}").select(*TRIPLE).write.mode("overwrite").parquet(f"{self.path}/snapshots/version={version}")
-        self.rows.append(row)
-        self.version_meta().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/gen={generation}")
-        for g in self._numbers("open"):
-            if g < generation - 1:  # a reader of the last manifest may still need the one before
-                self._fs.delete(self._at(f"open/gen={g}"), True)
 
     # --- builders
 
