@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from versograph.operators.log import intervals
+from versograph.operators.model import TRIPLE
+from versograph.plans import strategy
+from versograph.sources.store import Archive
 
 LAST_ORDERS, LAST_EVENTS = 6, 9
 
@@ -46,6 +52,34 @@ def orders_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(orders_log(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], Archive] = {}
+
+
+def ingest_orders(spark: SparkSession, sf_dir: str, path: str, done: Callable[[int], None] | None = None) -> Archive:
+    """The orders archive on disk, appended version by version, with a snapshot at every third; ``done`` is called after each."""
+    archive = Archive.open(spark, path, strategy.interval(3), buckets=8)
+    log = orders_log(spark, sf_dir).persist()
+    for v in range(LAST_ORDERS + 1):
+        archive.append(log.where(F.col("version") == v).select(*TRIPLE, "op"), v, check_uniqueness=False)
+        if done:
+            done(v)
+    log.unpersist()
+    return archive
+
+
+def stored_orders(spark: SparkSession, sf_dir: str) -> Archive:
+    """The orders archive in the shared folder, written once by an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        archive = ingest_orders(spark, sf_dir, f"{where or tempfile.mkdtemp()}/versograph-orders-{uuid.uuid4().hex}")
+        archive._fs.deleteOnExit(archive._at(""))
+        _STORED[key] = archive
+    return _STORED[key]
+
+
 def events_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(events_log(spark, sf_dir))
 

@@ -13,7 +13,7 @@ from versograph.operators import query as q
 from versograph.operators.log import intervals, normalise
 from versograph.operators.model import OPEN, TRIPLE
 from versograph.plans import strategy
-from versograph.plans.fixtures import EVENTS_SQL, LAST_ORDERS, ORDERS_SQL, events_log, events_presence, orders_log, orders_presence
+from versograph.plans.fixtures import EVENTS_SQL, LAST_ORDERS, ORDERS_SQL, events_log, events_presence, orders_log, orders_presence, stored_orders
 from versograph.sources import ntriples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,3 +344,20 @@ n AS (SELECT v, count(*)::DOUBLE AS n FROM h GROUP BY v), d AS (SELECT version,
 SELECT version, coalesce(d, 0) / (b.n + coalesce(d, 0)) AS change_ratio, dynamicity, n.n / b.n AS growth_ratio, coalesce(k, 0) AS entity_changes,
   coalesce(tec.n::DOUBLE / k, 0.0) AS triple_to_entity_change, coalesce(u, 0) AS object_updates
 FROM pairs JOIN n ON n.v = version JOIN n b ON b.v = version - 1 LEFT JOIN d USING (version) LEFT JOIN dyn USING (version) LEFT JOIN ec USING (version) LEFT JOIN tec USING (version) LEFT JOIN ou USING (version)""")
+
+
+# --- the same from an archive on disk
+
+
+def _stored(f: Callable) -> Query:
+    return lambda spark, d: f(stored_orders(spark, d))
+
+
+for name, v, m in (("vm_all", 5, (None, None, None)), ("vm_s", 4, (S, None, None)), ("vm_po", 3, (None, P, O)), ("vm_o", 6, (None, None, O)), ("vm_beyond_max", 99, (None, P, O))):
+    _add(f"stored_{name}", _stored(lambda a, v=v, m=m: a.vm(v, m)), f"SELECT s, p, o FROM pres WHERE {_at(v)}{_match(m)}")
+_add("stored_vm_hybrid", _stored(lambda a: a.vm_hybrid(5, (None, P, None))), f"SELECT s, p, o FROM pres WHERE {_at(5)}{_match((None, P, None))}")
+_add("stored_dm_range", _stored(lambda a: a.dm(1, 6)), _delta(1, 6))
+_add("stored_dm_pattern", _stored(lambda a: a.dm(1, 5, (None, P, "archived"))), _delta(1, 5, _match((None, P, "archived"))))
+_add("stored_vq_pattern", _stored(lambda a: _listed(a.vq((None, P, "archived")))), _lists(_match((None, P, "archived"))))
+_add("stored_log", _stored(lambda a: a.log()), "SELECT version, s, p, o, op FROM log")
+_add("stored_presence", _stored(lambda a: a.presence()), "SELECT s, p, o, v_from, CAST(v_to AS INTEGER) AS v_to FROM pres")
