@@ -86,6 +86,10 @@ def meeting(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[in
     return taken[i:j]
 
 
+#: Characters of a run that is looked up in a window before its edits are counted.
+GRAM = 3
+
+
 class Scanner:
     def __init__(self, notices: tuple = NOTICES):
         self.notices = [(text, label, k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")) for text, label, k in notices]
@@ -97,6 +101,8 @@ class Scanner:
         for piece, where in at.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
+        #: For each notice its runs of GRAM characters, and how many of them every place with few enough edits has: an edit touches GRAM at most.
+        self.grams = [([text[j : j + GRAM] for j in range(len(text) - GRAM + 1)], len(text) - GRAM + 1 - GRAM * k) for text, _, k, _ in self.notices]
 
     def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
         """For each notice, the parts of a text in which it can stand: at most 2 edits wider than the notice to either side."""
@@ -120,9 +126,14 @@ class Scanner:
     def spans(self, text: str, i: int, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(edits, start, end) of notice i: best and earliest first, without overlaps."""
         notice, _, k, pattern = self.notices[i]
+        grams, least = self.grams[i]
+
+        def possible(a: int, b: int) -> bool:
+            there = {text[j : j + GRAM] for j in range(a, b - GRAM + 1)}
+            return sum(g in there for g in grams) >= least
 
         def best(a: int, b: int) -> None:
-            if b - a >= len(notice) - k and (m := pattern.search(text, a, b)):
+            if b - a >= len(notice) - k and possible(a, b) and (m := pattern.search(text, a, b)):
                 heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
 
         waiting: list[tuple] = []
