@@ -1,5 +1,7 @@
 """Small histories with known answers, on intervals, on chains and in stored archives."""
 
+import random
+
 import pytest
 
 from versograph.functions import stats
@@ -92,6 +94,26 @@ def test_add_and_remove_cycles(presence, spark):
     assert net(log(spark, F6), 0, 4).count() == 0
 
 
+@pytest.mark.parametrize("text, last", [(F2, 6), (F6, 4), (F8, 7), (F11, 5)])
+def test_sizes_of_all_deltas(presence, text, last):
+    p = presence(text)
+    want = {(i, j): q.dm_plain(p, i, j).count() for i in range(last + 1) for j in range(i + 1, last + 1)}
+    assert {(r.i, r.j): r.n for r in q.dm_counts(p, last).collect()} == want
+    assert {(r.i, r.j): r.n for r in q.dm_counts(p, 1).collect()} == {(0, 1): want[0, 1]}
+    assert [r.n for r in q.dm_counts(p.where("false"), 2).collect()] == [0, 0, 0]
+
+
+def test_writes_one_after_the_other(spark):
+    rng = random.Random(3)
+    writes = [(rng.choice("ab"), "p", rng.choice("xyz"), rng.choice([1, -1]), k, rng.random() < 0.5) for k in range(60)]
+    want = {}
+    for s, p, o, op, _, local in writes:
+        old = want.get((s, p, o))
+        want[s, p, o] = (op, not old[1]) if old and old[0] != op else (op, local)
+    rows = spark.createDataFrame(writes, "s string, p string, o string, op int, seq int, local boolean")
+    assert {(r.s, r.p, r.o): (r.op, r.local) for r in patch.written_in_order(rows).collect()} == want
+
+
 @pytest.mark.parametrize("text, last, step, want", [
     (F7, 3, 2, {"aaa": [0, 1, 2], "aab": [0], "aac": [0, 1, 2, 3], "aad": [2, 3], "abc": [3], "abd": [3]}),
     (F8, 7, 3, {"aaa": [0, 1, 2], "aba": [0, 6, 7], "aca": [2, 3, 7], "ada": [3, 4], "aea": [3, 4, 5, 6, 7]}),

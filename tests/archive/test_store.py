@@ -192,3 +192,19 @@ def test_an_append_rewrites_its_buckets_only(spark, tmp_path):
     assert any("bucket" in x for x in scans) and any("v_to" in x for x in scans)
     again = Archive.open(spark, str(tmp_path / "a"), buckets=3)
     assert len(again.buckets) == 8 and again.vm(0).count() == 500
+
+
+def test_row_groups_tell_which_objects_they_lack(spark, tmp_path):
+    a = Archive.open(spark, str(tmp_path / "a"), buckets=1)
+    many = spark.range(150000).selectExpr("concat('s', id % 1000) AS s", "'p' AS p", "md5(string(id)) AS o")
+    assert a.ingest(0, many)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    opened = jvm.org.apache.parquet.hadoop.ParquetFileReader.open
+    for f in a._open().inputFiles() + a.log().inputFiles() + a.snapshot(0).inputFiles():
+        reader = opened(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf))
+        columns = {c.getPath().toDotString(): c for b in reader.getFooter().getBlocks() for c in b.getColumns()}
+        assert columns["o"].getBloomFilterOffset() > 0
+        reader.close()
+    assert a.size() < 3 * 150000 * 40
+    some = many.where("s = 's7'").head()
+    assert [tuple(r) for r in a.vm(0, (None, None, some["o"])).collect()] == [tuple(some)] and a.vm(0, (None, None, "none")).isEmpty()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versograph.operators.log import last_write_wins, net
@@ -42,6 +42,21 @@ def join_patches(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, TRIPLE, "full").select(*TRIPLE, F.coalesce("b", "a").alias("op"), F.when(turned, ~local).otherwise(local).alias("local"))
 
 
+def written_in_order(writes: DataFrame) -> DataFrame:
+    """The element (s, p, o, op, local) that is left after ``writes`` (with seq and local) one after the other.
+
+    A write of the same sign takes the place of the element with its flag; one of the other
+    sign toggles the flag that was there.  After the last write that didn't turn its element
+    round, signs alternate, so the flag is that write's, toggled if the last sign is another.
+    Equal ``seq`` go by op, then by flag.
+    """
+    before = F.lag("op").over(Window.partitionBy(*TRIPLE).orderBy("seq", "op", "local"))
+    rows = writes.withColumn("__b", before).withColumn("__w", F.struct("seq", "op", "local"))
+    stays = F.coalesce(F.col("__b") == F.col("op"), F.lit(True))
+    both = rows.groupBy(*TRIPLE).agg(F.max("__w").alias("w"), F.max(F.when(stays, F.col("__w"))).alias("k"))
+    return both.select(*TRIPLE, F.col("w.op").alias("op"), (F.col("k.local") != (F.col("k.op") != F.col("w.op"))).alias("local"))
+
+
 def contains(log: DataFrame, snapshot: int, version: int, triples: DataFrame) -> DataFrame:
     """``triples`` (s, p, o) with op of the version's patch, 0 where it has none."""
     return triples.join(reconstruct(log, snapshot, version), TRIPLE, "left").select(*TRIPLE, F.coalesce("op", F.lit(0)).alias("op"))
@@ -105,4 +120,4 @@ def deletion_positions(log: DataFrame, snapshot: int, version: int) -> DataFrame
 #: The sorts from which all seven positions follow, and the numbers of leading columns that are bound.
 POSITIONS = [("spo", {"pos_sp_": 2, "pos_s__": 1, "pos____": 0}), ("osp", {"pos_s_o": 2, "pos___o": 1}), ("pso", {"pos__p_": 1}), ("pos", {"pos__po": 2})]
 
-__all__ = ["POSITIONS", "SHAPES", "addition_count", "addition_counts", "clashes", "compose", "contains", "deletion_count", "deletion_positions", "join_patches", "last_write_wins", "numbered", "rebase", "reconstruct"]
+__all__ = ["POSITIONS", "SHAPES", "addition_count", "addition_counts", "clashes", "compose", "contains", "deletion_count", "deletion_positions", "join_patches", "last_write_wins", "numbered", "rebase", "reconstruct", "written_in_order"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versograph.operators.model import ANY, OPEN, TRIPLE, TriplePattern, pattern
@@ -61,6 +61,26 @@ def dm(presence: DataFrame, start: int, end: int, match: TriplePattern | tuple |
     return page(both.select(*TRIPLE, F.col("b").alias("addition")), m.order(), offset, limit)
 
 
+def dm_counts(presence: DataFrame, last: int) -> DataFrame:
+    """(i, j, n): sizes of the deltas between all versions i < j up to ``last``.
+
+    Two versions differ by what either holds, less twice what both hold.  Any two intervals of a
+    triple (or one with itself) put it into a rectangle of such pairs; corners are summed, and running
+    sums along both axes give the pairs.  So rows are few per triple, however many versions there are.
+    """
+    span = F.struct(F.greatest("v_from", F.lit(0)).alias("a"), F.least("v_to", F.lit(last + 1)).alias("b"))
+    spans = presence.where((F.col("v_from") <= last) & (F.col("v_to") > 0)).groupBy(*TRIPLE).agg(F.collect_list(span).alias("x"))
+    two = spans.select("x", F.explode("x").alias("r")).select("r", F.explode("x").alias("t"))
+    corners = [F.struct(F.col(f"r.{i}").alias("i"), F.col(f"t.{j}").alias("j"), F.lit(1 if i == j else -1).alias("d")) for i in "ab" for j in "ab"]
+    steps = two.select(F.explode(F.array(*corners)).alias("c")).groupBy("c.i", "c.j").agg(F.sum("c.d").alias("d"))
+    cells = presence.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("j"))
+    held = cells.join(steps, ["i", "j"], "left").withColumn("d", F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("j").orderBy("i")))
+    held = held.select("i", "j", F.sum("d").over(Window.partitionBy("i").orderBy("j")).alias("both"))
+    sizes = held.where("i = j")
+    rows = held.where("i < j").join(sizes.select("i", F.col("both").alias("x")), "i").join(sizes.select("j", F.col("both").alias("y")), "j")
+    return rows.select("i", "j", (F.col("x") + F.col("y") - 2 * F.col("both")).cast("bigint").alias("n"))
+
+
 def dm_plain(presence: DataFrame, start: int, end: int, match: TriplePattern | tuple | None = None) -> DataFrame:
     """The same from the two whole versions, by a full outer join."""
     a = vm(presence, start, match).withColumn("a", F.lit(True))
@@ -104,4 +124,4 @@ def routed(snapshots: list[int], version: int) -> int:
     return max((s for s in snapshots if s <= version), default=-1)
 
 
-__all__ = ["ANY", "EXACT", "OPEN", "UP_TO", "dm", "dm_estimate", "dm_plain", "holds", "page", "routed", "vm", "vm_counts", "vm_in_chain_order", "vq", "vq_count"]
+__all__ = ["ANY", "EXACT", "OPEN", "UP_TO", "dm", "dm_counts", "dm_estimate", "dm_plain", "holds", "page", "routed", "vm", "vm_counts", "vm_in_chain_order", "vq", "vq_count"]

@@ -92,17 +92,7 @@ _add("dm_compose", _log(lambda g: patch.compose(patch.reconstruct(g, 0, 3), patc
 _add("dm_rebase", _log(lambda g: patch.rebase(patch.reconstruct(g, 0, 2), patch.reconstruct(g, 0, 5))), _signed(2, 5))
 
 
-def _count_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of all deltas i < j, by one aggregation over the presence of each triple in each version."""
-    n = LAST_ORDERS + 1
-    rows = orders_presence(spark, d).groupBy(*TRIPLE).agg(*[F.max(q.holds(v)).alias(f"h{v}") for v in range(n)])
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    sums = rows.agg(*[F.sum((F.col(f"h{i}") != F.col(f"h{j}")).cast("bigint")).alias(f"d{i}_{j}") for i, j in pairs])
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"d{i}_{j}").alias("n")) for i, j in pairs]
-    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-_add("dm_count_matrix", _count_matrix, """, v AS (SELECT CAST(range AS INTEGER) AS v FROM range(0, 7)),
+_add("dm_count_matrix", _presence(lambda p: q.dm_counts(p, LAST_ORDERS)), """, v AS (SELECT CAST(range AS INTEGER) AS v FROM range(0, 7)),
 h AS (SELECT s, p, o, v.v, max(CASE WHEN v_from <= v.v AND v_to > v.v THEN 1 ELSE 0 END) AS h FROM pres, v GROUP BY ALL)
 SELECT a.v AS i, b.v AS j, CAST(sum(abs(a.h - b.h)) AS BIGINT) AS n FROM h a JOIN h b USING (s, p, o) WHERE a.v < b.v GROUP BY a.v, b.v""")
 _add("dm_estimate", _presence(lambda p: q.dm_estimate(p, 1, 5, SNAPSHOTS)), f"""SELECT (SELECT count(*) FROM ({_delta(0, 1)})) + (SELECT count(*) FROM ({_delta(3, 5)})) + (SELECT count(*) FROM pres WHERE {_at(0)}) + (SELECT count(*) FROM pres WHERE {_at(3)}) AS n, 'UP_TO' AS kind""")
@@ -153,6 +143,19 @@ def _lww(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("patch_dedup_lww", _lww, "SELECT s, p, o, op FROM (SELECT *, row_number() OVER (PARTITION BY s, p, o ORDER BY version DESC) AS rn FROM log) WHERE rn = 1")
+
+
+def _writes(spark: SparkSession, d: str) -> DataFrame:
+    """The log and a second addition of each triple just before the last version; the flag is set where the order is even."""
+    g = orders_log(spark, d)
+    more = g.where("op = 1").select(*TRIPLE).distinct().select(*TRIPLE, F.lit(1).alias("op"), F.lit(11).alias("seq"))
+    all_writes = g.select(*TRIPLE, "op", (2 * F.col("version")).alias("seq")).unionByName(more)
+    return patch.written_in_order(all_writes.withColumn("local", F.col("seq") % 4 == 0))
+
+
+_add("patch_writes_in_order", _writes, """, w AS (SELECT s, p, o, op, 2 * version AS seq FROM log UNION ALL SELECT DISTINCT s, p, o, 1, 11 FROM log WHERE op = 1),
+f AS (SELECT s, p, o, list_reduce(list({'op': op, 'l': seq % 4 = 0} ORDER BY seq), lambda a, x: CASE WHEN a.op = x.op THEN x ELSE {'op': x.op, 'l': NOT a.l} END) AS r FROM w GROUP BY s, p, o)
+SELECT s, p, o, r.op AS op, r.l AS local FROM f""")
 _add("patch_join", _log(lambda g: patch.join_patches(g.where("version = 5"), g.where("version = 6"))), """SELECT s, p, o, coalesce(b, a) AS op, coalesce(a <> b, false) AS local
   FROM (SELECT s, p, o, max(op) FILTER (version = 5) AS a, max(op) FILTER (version = 6) AS b FROM log WHERE version IN (5, 6) GROUP BY s, p, o)""")
 _add("patch_contains", _log(lambda g: patch.contains(g, 3, 5, g.select(*TRIPLE).distinct())), f"SELECT t.s, t.p, t.o, coalesce(d.op, 0) AS op FROM (SELECT DISTINCT s, p, o FROM log) t LEFT JOIN ({_signed(3, 5)}) d USING (s, p, o)")

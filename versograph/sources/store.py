@@ -11,7 +11,8 @@ Every write has a generation of its own and puts its files beside those of earli
 ones.  A reader takes the newest whole manifest, which is written last, and reads only
 the generations that it names: a write that fails at any point leaves the archive as it
 was.  An append rewrites the buckets that its changes fall into, and no other.  A look
-at one subject reads one bucket.  One writer at a time.
+at one subject reads one bucket; a look at one object skips the row groups whose filter
+or dictionary lacks it.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from versograph.plans.strategy import Chain, Strategy, Version, never
 _META = "version int, snapshot_id int, is_snapshot boolean, delta_size bigint, agg_delta_size bigint, version_size bigint, change_ratio double, local_change_ratio double, ingest_ms bigint, snapshot_size bigint, generation int, buckets array<int>"
 #: Folders of a version and the names of their parts.
 _FOLDERS = {"log": "version", "closed": "v_to", "snapshots": "version"}
+#: A filter of the objects in each row group, as large as they need; none is written where a dictionary of them is.
+_OBJECTS = {"parquet.bloom.filter.enabled#o": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 class Archive:
@@ -247,7 +250,7 @@ class Archive:
             open_now = now.join(minus, TRIPLE, "left_anti").unionByName(back).unionByName(new.join(closed, TRIPLE, "left_anti").withColumn("v_from", F.lit(version)))
             open_now = open_now.withColumn("bucket", self._bucket(F.col("s"))).withColumn("gen", F.lit(generation)).hint("rebalance", "bucket")
             if touched:
-                open_now.sortWithinPartitions("bucket", "p", "o", "s").write.partitionBy("bucket", "gen").mode("append").parquet(f"{self.path}/open")
+                open_now.sortWithinPartitions("bucket", "p", "o", "s").write.options(**_OBJECTS).partitionBy("bucket", "gen").mode("append").parquet(f"{self.path}/open")
             self.progress("change set", 40)
             closed_now = closed.join(new, TRIPLE, "left_anti").unionByName(now.join(minus, TRIPLE, "left_semi").where(F.col("v_from") < version))
             self._put("closed", version, generation, closed_now)
@@ -269,7 +272,7 @@ class Archive:
         return True
 
     def _put(self, name: str, version: int, generation: int, rows: DataFrame) -> None:
-        rows.hint("rebalance").sortWithinPartitions(*TRIPLE).write.parquet(f"{self.path}/{name}/{_FOLDERS[name]}={version}/gen={generation}")
+        rows.hint("rebalance").sortWithinPartitions(*TRIPLE).write.options(**_OBJECTS).parquet(f"{self.path}/{name}/{_FOLDERS[name]}={version}/gen={generation}")
 
     def _clean(self, version: int, generation: int, touched: list[int], before: list[int]) -> None:
         """Deletes what this write replaced or found left of failed ones, but for what a reader of the manifest before may still read."""
