@@ -1,12 +1,16 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 
 from tests.llm import helpers
+from versograph.llm import common
 from versograph.llm import op03_lm as op
 
 
@@ -40,6 +44,19 @@ def test_counts_of_any_size(top):
     assert got.tolist() == x.tolist() and bytes(rest) == b"rest"
 
 
+@pytest.mark.parametrize("lengths", [(0, 0, 0), (1, 0, 3), (0, 700, 2), (5, 5, 0)])
+def test_parts_of_any_length_and_width(lengths):
+    parts = [np.arange(n, dtype=np.int64) * wide for n, wide in zip(lengths, (1 << 40, 1, 300), strict=True)]
+    *got, rest = op.unpacked_numbers(memoryview(op.packed_numbers(*parts) + b"rest"), 3)
+    assert [x.tolist() for x in got] == [x.tolist() for x in parts] and bytes(rest) == b"rest"
+
+
+def test_rows_of_few_ngrams_are_small():
+    """What a block sends to a shard of which it has one n-gram of each order, at the hash widths of 30 GB."""
+    keys = b"".join(op.Monotone.of(np.array([(1 << bits) - 1], dtype=np.uint64), 1 << bits).pack() for bits in (52, 39, 39))
+    assert len(keys + op.packed_numbers(*[np.ones(1, dtype=np.int64)] * 3)) < 100
+
+
 @pytest.mark.parametrize("bits", [8, 64])
 def test_numbered_is_as_unique(bits):
     key = np.random.default_rng(1).integers(0, 1 << min(bits, 63), 500, dtype=np.uint64)
@@ -97,6 +114,45 @@ def test_scores_match_brute_force(spark, block, monkeypatch):
         assert g.score == pytest.approx(w[6], abs=2e-3 * w[2])
 
 
+#: Prints the bytes of shuffle files after the answers are written and the rows of the result, where nothing goes with the driver's garbage.
+ALONE = """
+import random, sys, time
+from pathlib import Path
+from pyspark.sql import SparkSession
+from tests.llm import helpers
+from versograph.llm import op03_lm as op
+
+conf = {"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.cleaner.referenceTracking": "false"}
+spark = SparkSession.builder.config(map=conf | {"spark.local.dir": sys.argv[1] + "/local", "spark.checkpoint.dir": sys.argv[1] + "/shared"}).getOrCreate()
+rng = random.Random(1)
+rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(1000)), "en", "a", 1) for i in range(40)]
+made = op.score_documents(helpers.table(spark, rows))
+size = lambda: sum(f.stat().st_size for f in Path(sys.argv[1], "local").rglob("shuffle_*"))
+end = time.time() + 20
+while size() > 50_000 and time.time() < end:
+    time.sleep(0.1)
+print("bytes", size(), made.count())
+"""
+
+
+def test_requests_leave_the_disk(tmp_path):
+    done = subprocess.run([sys.executable, "-c", ALONE, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    _, size, rows = next(x for x in done.stdout.splitlines() if x.startswith("bytes")).split()
+    assert int(size) < 50_000 and int(rows) == 40
+
+
+@pytest.mark.parametrize("before", [None, "false", "true"])
+def test_setting_is_put_back(spark, before, request):
+    if before:
+        spark.conf.set(common.CLEANUP, before)
+        request.addfinalizer(lambda: spark.conf.unset(common.CLEANUP))
+    dealt = spark.range(9).repartition(2, "id")
+    common.written(dealt, "put-back", free=True)
+    with pytest.raises(PySparkException):
+        common.written(dealt.selectExpr("raise_error('no') AS x"), "put-back", free=True)
+    assert spark.conf.get(common.CLEANUP, None) == before
+
+
 def op_row(r):
     return r
 
