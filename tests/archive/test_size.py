@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from versograph.functions import terms
 from versograph.plans import fixtures, queries
 
 COLUMNS = ["id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "timestamp '1996-02-03' + make_interval(id % 5) AS o_orderdate", "'1-URGENT' AS o_orderpriority"]
@@ -14,11 +15,6 @@ def orders(spark, tmp_path):
     return str(tmp_path)
 
 
-def steps(df, name):
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return sum(f" {name} " in line.replace("- ", " ") for line in plan.splitlines())
-
-
 def test_tasks_grow_in_number_with_the_table(spark, tmp_path):
     text = " || ".join(["uuid()"] * 5)
     spark.range(100_000).selectExpr(*COLUMNS[:2], f"{text} AS o_orderstatus", *COLUMNS[3:]).write.parquet(f"{tmp_path}/orders.parquet")
@@ -32,3 +28,10 @@ def test_triples_and_subjects_take_one_shuffle_of_orders(spark, orders, name):
     df = queries.QUERIES[name](spark, orders)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_shared_terms_come_from_one_pass(spark, orders):
+    plan = queries.QUERIES["dict_shared_terms"](spark, orders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "Join" not in plan
+    rows = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("b", "q", "b"), (None, "p", None)], "s string, p string, o string")
+    assert {r.term for r in terms.terms(rows, "shared").collect()} == {"b", None}
