@@ -35,3 +35,8 @@ def test_shared_terms_come_from_one_pass(spark, orders):
     assert plan.count("Window [") == 1 and "Join" not in plan
     rows = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("b", "q", "b"), (None, "p", None)], "s string, p string, o string")
     assert {r.term for r in terms.terms(rows, "shared").collect()} == {"b", None}
+
+
+def test_an_untidy_log_is_shuffled_and_sorted_once(spark, orders):
+    plan = queries.QUERIES["log_normalised"](spark, orders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
