@@ -40,3 +40,16 @@ def test_shared_terms_come_from_one_pass(spark, orders):
 def test_an_untidy_log_is_shuffled_and_sorted_once(spark, orders):
     plan = queries.QUERIES["log_normalised"](spark, orders)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_frequent_terms_are_not_dealt_out_by_their_value(spark):
+    t = spark.range(3000).selectExpr("concat('s', id) AS s", "'p' AS p", "if(id % 3 = 0, concat('o', id), 'often') AS o").union(spark.createDataFrame([("x", "q", "often"), (None, "p", None)], "s string, p string, o string"))
+    ids = terms.dictionary(t.where("s IS NOT NULL"), 3)
+    match = {"p": ids.where("term = 'p'")}
+    coded = terms.encode(t, ids, match)
+    assert sorted(map(tuple, terms.decode(coded, ids, match).select("s", "p", "o").collect()), key=str) == sorted(map(tuple, t.where("p = 'p'").collect()), key=str)
+    known = {r.term: r.term_id for r in ids.collect()}
+    assert sorted(known.values()) == list(range(1, len(known) + 1)) and [*known] == sorted(known, key=known.get) == sorted(known)
+    assert {r.o for r in coded.where("s IS NOT NULL").collect()} == {known[r.o] for r in t.where("s IS NOT NULL").collect()}
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p#" not in plan and sum("hashpartitioning(o#" in line for line in plan.splitlines()) <= 1  # the count of each object
